@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, simhash
+from millrace.llm import packing, quality, simhash
 from millrace.llm.common import read_table
 
 
@@ -20,8 +20,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents"))
+    return judged.drop("n_lines", "n_marks", "n_upper")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_simhash_near_dedup, op3_best_fit_packing]
+    named = [op1_simhash_near_dedup, op3_best_fit_packing, op9_quality_rules]
     return {query.__name__: query for query in named}
 
 
