@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality, simhash
+from millrace.llm import binary_records, bpe, packing, quality, simhash
 from millrace.llm.common import read_table
 
 
@@ -20,13 +21,31 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    manifest = binary_records.write_records(docs, public_tokenizers.path("word_bpe_49k.json"))
+    back = binary_records.read_records(spark, manifest)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents"))
     return judged.drop("n_lines", "n_marks", "n_upper")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_simhash_near_dedup, op3_best_fit_packing, op9_quality_rules]
+    named = [op1_simhash_near_dedup, op3_best_fit_packing, op5_binary_records, op9_quality_rules, op10_byte_bpe]
     return {query.__name__: query for query in named}
 
 
