@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import binary_records, bpe, packing, quality, simhash
+from millrace.llm import binary_records, bpe, packing, quality, sharding, simhash
 from millrace.llm.common import read_table
 
 
@@ -21,6 +21,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_hash_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(read_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     manifest = binary_records.write_records(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -45,7 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_simhash_near_dedup, op3_best_fit_packing, op5_binary_records, op9_quality_rules, op10_byte_bpe]
+    named = [op1_simhash_near_dedup, op3_best_fit_packing, op4_hash_ring_sharding, op5_binary_records, op9_quality_rules, op10_byte_bpe]
     return {query.__name__: query for query in named}
 
 
