@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import binary_records, bpe, packing, quality, sharding, simhash
+from millrace.llm import binary_records, bpe, line_dedup, packing, quality, sharding, simhash
 from millrace.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents"))
     return judged.drop("n_lines", "n_marks", "n_upper")
@@ -50,7 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_simhash_near_dedup, op3_best_fit_packing, op4_hash_ring_sharding, op5_binary_records, op9_quality_rules, op10_byte_bpe]
+    named = [op1_simhash_near_dedup, op3_best_fit_packing, op4_hash_ring_sharding, op5_binary_records, op8_fuzzy_line_dedup, op9_quality_rules, op10_byte_bpe]
     return {query.__name__: query for query in named}
 
 
