@@ -174,27 +174,25 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     rows that fail the base rules.  Null and empty texts have no words and
     fail.  Repeated rows are judged alike; other columns are ignored.
     """
-    keys = [f"g{i}" for i in range(len(group_cols))]
+    depths = range(len(group_cols), -1, -1)
     stats = materialize(base_statistics(docs, id_col, text_col, group_cols).select("*", base_failed().alias("base_failed"), *transformed()), "statistics")
     limit = chi2_quantile(QUANTILE, len(NAMES))
     result = [F.col("id").alias(id_col), *BASE, "base_failed", "distance", F.coalesce(F.col("distance") <= limit, F.lit(False)).alias("kept")]
-    passed = stats.where(~F.col("base_failed"))
-    parts = [stats.where("base_failed").withColumn("distance", F.lit(None).cast("double"))]
-    rest = passed
-    for depth in range(len(keys), -1, -1):
-        at = keys[:depth] or ["g"]
-        every = passed if depth else passed.withColumn("g", F.lit(0))
-        rest = rest if depth else rest.withColumn("g", F.lit(0))
-        enough = materialize(every.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (LEAST_ROWS if depth else 1)).select(*at), "groups")
-        wanted = materialize(rest.select(*at).distinct().join(enough, at, "left_semi"), "groups")
-        if wanted.limit(1).count():
-            fit = mcd_estimates(every.join(wanted, at, "left_semi"), at)
-            parts.append(rest.join(fit, at).withColumn("distance", _distance()))
-        rest = rest.join(enough, at, "left_anti")
-    out = parts[0].select(*result)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*result))
-    return out
+    failed = stats.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
+    # A row's groups from the finest to that of all rows, each named with its depth.
+    name = {d: F.to_json(F.array(F.lit(str(d)), *(F.col(f"g{i}") for i in range(d)))) for d in depths}
+    passed = stats.where(~F.col("base_failed")).select("*", *(name[d].alias(f"k{d}") for d in depths))
+    in_all = passed.select(F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.col(f"k{d}").alias("key")) for d in depths))).alias("k"), *NAMES).select("k.*", *NAMES)
+    enough = materialize(in_all.groupBy("key", "depth").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST_ROWS) | (F.col("depth") == 0)).select("key"), "groups")
+    for d in depths:
+        if d:
+            passed = passed.join(enough.select(F.col("key").alias(f"k{d}"), F.lit(True).alias(f"is{d}")), f"k{d}", "left")
+    chosen = F.coalesce(*(F.when(F.col(f"is{d}"), F.col(f"k{d}")) for d in depths if d), F.col("k0"))
+    passed = materialize(passed.select(*stats.columns, chosen.alias("key")), "grouped")
+    wanted = materialize(passed.select("key").distinct(), "groups")
+    fit = mcd_estimates(materialize(in_all.join(wanted, "key", "left_semi").select("key", *NAMES), "vectors"), ["key"])
+    judged = passed.join(fit, "key").withColumn("distance", _distance())
+    return failed.select(*result).unionByName(judged.select(*result))
 
 
 def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
