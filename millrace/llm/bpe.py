@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import text_or_empty
 from millrace.llm.tokenizing import BYTE_LEVEL, UNSURE, plain_pattern
 
-#: Characters of text whose distinct words are replayed together (a longer text is a block of its own), and words kept between blocks.
-BLOCK, CACHED = 4 << 20, 1 << 19
+#: Characters of text whose distinct words are replayed together (a longer text is a block of its own), texts taken
+#: from Arrow at a time, and words kept between blocks.
+BLOCK, TEXTS, CACHED = 4 << 20, 1024, 1 << 18
 
 
 class Ranks:
@@ -160,9 +162,9 @@ def encode_block(texts: list[str], vocabulary: Ranks) -> Iterator[bytes]:
         vocabulary.known.update(found)
 
 
-def blocks(texts: Iterable[str], size: int = BLOCK) -> Iterator[list[str]]:
+def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[list[str]]:
     held, n = [], 0
-    for text in texts:
+    for text in chain.from_iterable(column.slice(at, TEXTS).to_pylist() for at in range(0, len(column), TEXTS)):
         if held and n + len(text) > size:
             yield held
             held, n = [], 0
@@ -182,7 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
         vocabulary = ranks(path, pattern)
         for batch in batches:
             at = 0
-            for block in blocks(batch.column(1).to_pylist()):
+            for block in blocks(batch.column(1)):
                 packed = list(encode_block(block, vocabulary))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array(packed, pa.binary())], [id_col, "ids"])
                 at += len(block)
@@ -197,9 +199,11 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
     def run(batches):
         token = ranks(path, pattern).token.__getitem__
         for batch in batches:
-            ids = batch.column(at).to_pylist()
-            out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
+                ids = part.column(at).to_pylist()
+                out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     at = encoded.columns.index(ids_col)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
