@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_or_empty
-from millrace.llm.tokenizing import BYTE_LEVEL, UNSURE, plain_pattern
+from millrace.llm.tokenizing import BYTE_LEVEL, UNSURE, WordCache, plain_pattern
 
 #: Characters of text whose distinct words are replayed together (a longer text is a block of its own), texts taken
 #: from Arrow at a time, and words kept between blocks.
-BLOCK, TEXTS, CACHED = 4 << 20, 1024, 1 << 18
+BLOCK, TEXTS, CACHED = 4 << 20, 1024, 3 << 17
 
 
 class Ranks:
@@ -43,7 +43,7 @@ class Ranks:
         self.words = regex.compile(pattern).findall
         self.plain = plain_pattern(pattern).findall if pattern == BYTE_LEVEL else None
         self.pairs: dict[int, int] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = WordCache(CACHED)
 
     def merged(self, pair: int) -> int:
         """The rank of two tokens (in one integer) put together, or -1."""
@@ -143,11 +143,10 @@ def replay(words: list[bytes], vocabulary: Ranks) -> list[list[int]]:
 
 def encode_block(texts: list[str], vocabulary: Ranks) -> Iterator[bytes]:
     """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-    known = vocabulary.known.get
     split, new = [], set()
     for text in texts:
         words = vocabulary.split(text)
-        ids = list(map(known, words))
+        ids = vocabulary.known.look_up(words)
         if None in ids:
             new.update(w for w, x in zip(words, ids) if x is None)
         split.append((words, ids))
@@ -156,10 +155,7 @@ def encode_block(texts: list[str], vocabulary: Ranks) -> Iterator[bytes]:
     found = {w: np.array(x, "<u4").tobytes() for w, x in zip(todo, got)}
     for words, ids in split:
         yield b"".join([found[w] if x is None else x for w, x in zip(words, ids)])
-    if len(vocabulary.known) + len(found) > CACHED:
-        vocabulary.known.clear()
-    if len(found) <= CACHED:
-        vocabulary.known.update(found)
+    vocabulary.known.add(found)
 
 
 def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[list[str]]:

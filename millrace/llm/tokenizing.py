@@ -36,6 +36,29 @@ def plain_pattern(pattern: str) -> re.Pattern:
 CACHED, TOGETHER = 1 << 19, 128
 
 
+class WordCache:
+    """Ids of words in two generations of half the limit each: what isn't used again in one goes with the next."""
+
+    def __init__(self, limit: int = CACHED) -> None:
+        self.half = limit // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look_up(self, words: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, words))
+        if self.old and None in found:
+            for i, x in enumerate(found):
+                if x is None and (x := self.old.get(words[i])) is not None:
+                    found[i] = self.young[words[i]] = x
+        return found
+
+    def add(self, found: dict[str, bytes]) -> None:
+        if len(self.young) + len(found) > self.half:
+            self.old, self.young = self.young, {}
+        if len(found) <= self.half:
+            self.young.update(found)
+
+
 class WordEncoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -61,10 +84,10 @@ class WordEncoder:
         ):
             self.lower = True
             self.words = plain_pattern(WORD_ENDS).findall
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache()
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of the words, which are kept unless the cache is full; then it starts anew."""
+        """The ids of the words, which are kept for a while."""
         todo, found = list(words), {}
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
@@ -75,9 +98,7 @@ class WordEncoder:
             for word, end in zip(part, ends.tolist()):
                 found[word] = packed[begin:end]
                 begin = end
-        if len(self.cache) + len(found) > CACHED:
-            self.cache.clear()
-        self.cache.update(found)
+        self.cache.add(found)
         return found
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -92,13 +113,12 @@ class WordEncoder:
     def _encode_group(self, group: list[str]) -> Iterator[bytes]:
         split: list[tuple[list[str], list[bytes | None]] | None] = []
         new: set[str] = set()
-        known = self.cache.get
         for text in group:
             if self.words is None or UNSURE.search(text):
                 split.append(None)
                 continue
             words = self.words(text.lower() if self.lower else text)
-            ids = list(map(known, words))
+            ids = self.cache.look_up(words)
             if None in ids:
                 new.update(w for w, x in zip(words, ids) if x is None)
             split.append((words, ids))
