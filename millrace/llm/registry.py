@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, binary_records, bpe, line_dedup, packing, quality, sharding, simhash
+from millrace.llm import ann, binary_records, bpe, html_extract, line_dedup, packing, quality, sharding, simhash
 from millrace.llm.common import read_table
 
 
@@ -33,6 +33,12 @@ def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+    text = F.array_join("blocks", "\n")
+    return blocks.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
 def op7_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -59,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_simhash_near_dedup, op3_best_fit_packing, op4_hash_ring_sharding, op5_binary_records, op7_projected_neighbours, op8_fuzzy_line_dedup, op9_quality_rules, op10_byte_bpe]
+    named = [op1_simhash_near_dedup, op3_best_fit_packing, op4_hash_ring_sharding, op5_binary_records, op6_wrapper_extraction, op7_projected_neighbours, op8_fuzzy_line_dedup, op9_quality_rules, op10_byte_bpe]
     return {query.__name__: query for query in named}
 
 
