@@ -22,8 +22,6 @@ BANDS, ROWS = 8, 4
 #: ``(more than, at most, mask)``: long lines have shingles to spare, so only those whose hash has no bit of the
 #: mask count.  Lines within reach of each other in length share a class, as the classes overlap by the similarity.
 CLASSES = ((0, 320, 0), (256, 1280, 0b11 << 5), (1024, None, 0b1111 << 5))
-#: Buckets of up to so many lines are paired in full, larger ones through their first line and what that leaves over.
-SMALL = 16
 
 
 def _wide(line: Column) -> Column:
@@ -38,7 +36,7 @@ def _slice(wide: Column, i: Column) -> Column:
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, line_no, norm)`` for every line of every row; ``norm`` is null for lines that are left alone."""
     exploded = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("line_no", "line"))
-    norm = F.lower(F.trim(F.translate("line", "\t\r", "  ")))
+    norm = F.lower(F.trim("line", F.lit(" \t\r")))
     return exploded.select("doc_id", "line_no", F.when(F.length(norm) >= LEAST_CHARS, norm).alias("norm"))
 
 
@@ -89,39 +87,46 @@ def bands(lines: DataFrame) -> DataFrame:
     return least.where(filled >= 2).select("lid", F.xxhash64("band", *(F.coalesce(f"m{k}", F.lit(0)) for k in range(ROWS))).alias("bucket"))
 
 
-def _with_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    def shingles(line: str) -> Column:
-        wide = _wide(F.col(line))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.length(line) - SHINGLE), lambda i: _slice(wide, i)))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body and the optimiser repeat its name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.select("*", shingles(a).alias("set_a"), shingles(b).alias("set_b")).withColumn("both", both).withColumn(
-        "similarity", F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both"))
-    )
+
+def shingle_set(line: Column) -> Column:
+    """Hashes of a line's distinct shingles."""
+    places = F.sequence(F.lit(0), F.length(line) - SHINGLE)
+    return _let(F.struct(_wide(line).alias("wide"), places.alias("places")), lambda x: F.array_distinct(F.transform(x["places"], lambda i: _slice(x["wide"], i))))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two lines' shingle sets."""
+    sets = F.struct(shingle_set(a).alias("a"), shingle_set(b).alias("b"))
+    both = lambda s: F.size(F.array_intersect(s["a"], s["b"]))
+    return _let(sets, lambda s: _let(both(s), lambda k: k / (F.size(s["a"]) + F.size(s["b"]) - k)))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Of the pairs ``(a, b)`` of lids, each once, those whose lines' shingle sets are similar enough."""
     text = lambda side: lines.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"))
     met = pairs.distinct().join(text("a"), "a").join(text("b"), "b")
-    return _with_similarity(met, "line_a", "line_b").where(F.col("similarity") >= similarity).select("a", "b")
+    return met.where(jaccard(F.col("line_a"), F.col("line_b")) >= similarity).select("a", "b")
 
 
 def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, root)`` of every line that is linked to another."""
+    """``(node, root)`` of every line that is linked to another.
+
+    Lines of a bucket needn't all meet: those that its first line is linked to
+    are one class, and only lines that this leaves apart are compared further.
+    No link between two classes is lost by that.
+    """
     over = Window.partitionBy("bucket")
     members = bands(lines).select("bucket", "lid", F.count(F.lit(1)).over(over).alias("n"), F.min("lid").over(over).alias("lead"))
     members = materialize(members.where("n > 1"), "buckets")
-    small = members.where(F.col("n") <= SMALL)
-    pairs = small.select("bucket", F.col("lid").alias("a")).join(small.select("bucket", F.col("lid").alias("b")), "bucket").where("a < b").select("a", "b")
-    large = members.where(F.col("n") > SMALL)
-    stars = large.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b"))
-    found = materialize(verified(pairs.unionByName(stars), lines, similarity), "links")
+    stars = members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b"))
+    found = materialize(verified(stars, lines, similarity), "links")
     classes = materialize(connected_components(found, "a", "b"), "classes")
-    if not large.limit(1).count():
-        return classes
-    # A large bucket that its first line didn't unite: what is outside its largest class meets all the rest.
-    known = large.select("bucket", "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
+    # A bucket that its first line didn't unite: what is outside its largest class meets the rest, but for its own class.
+    known = members.select("bucket", "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
     sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("top.root").alias("main"))
     sorted_out = materialize(known.join(main, "bucket").join(lines.select("lid", F.length("line").alias("chars")), "lid").withColumn("step", F.floor(F.log("chars") / F.log(F.lit(1 / similarity)))), "apart")
