@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import chi2_quantile, materialize
 
 #: Directions, confidence of the stopping test, rows that the planes are fitted on.
-DIRECTIONS, CONFIDENCE, SAMPLE = 8, 0.99, 20_000
+DIRECTIONS, CONFIDENCE, SAMPLE = 8, 0.95, 20_000
 #: Rows wanted in a block, leaves of the tree over all blocks at most, points of a leaf of a block's tree.
-BLOCK, LEAVES, POINTS = 4096, 1024, 32
+BLOCK, LEAVES, POINTS = 4096, 1024, 256
 
 
 def directions(dim: int, m: int = DIRECTIONS, seed: int = 42) -> np.ndarray:
