@@ -79,7 +79,7 @@ def bands(lines: DataFrame) -> DataFrame:
     hashed = (
         classed.select("lid", "wide", "class", mask.cast("bigint").alias("mask"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
         .select("lid", "class", "mask", _slice(F.col("wide"), F.col("i")).alias("s"))
-        .where(F.col("s").bitwiseAND(F.col("mask")) == 0)
+        .where((F.col("mask") == 0) | (F.col("s").bitwiseAND(F.col("mask")) == 0))
         .select("lid", (F.col("class") * BANDS + F.shiftright(F.col("s").bitwiseAND(F.lit(BANDS * ROWS - 1)), 2)).cast("int").alias("band"), F.col("s").bitwiseAND(F.lit(ROWS - 1)).cast("int").alias("row"), "s")
     )
     least = hashed.groupBy("lid", "band").agg(*(F.min(F.when(F.col("row") == k, F.col("s"))).alias(f"m{k}") for k in range(ROWS)))
@@ -99,17 +99,19 @@ def shingle_set(line: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two lines' shingle sets."""
-    sets = F.struct(shingle_set(a).alias("a"), shingle_set(b).alias("b"))
+    """Similarity of two shingle sets."""
+    sets = F.struct(a.alias("a"), b.alias("b"))
     both = lambda s: F.size(F.array_intersect(s["a"], s["b"]))
     return _let(sets, lambda s: _let(both(s), lambda k: k / (F.size(s["a"]) + F.size(s["b"]) - k)))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Of the pairs ``(a, b)`` of lids, each once, those whose lines' shingle sets are similar enough."""
-    text = lambda side: lines.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"))
-    met = pairs.distinct().join(text("a"), "a").join(text("b"), "b")
-    return met.where(jaccard(F.col("line_a"), F.col("line_b")) >= similarity).select("a", "b")
+    wanted = materialize(pairs.distinct(), "pairs")
+    # The first line of a bucket is one for many others, so its set is built before they meet.
+    heads = lines.join(wanted.select(F.col("a").alias("lid")).distinct(), "lid", "left_semi").select(F.col("lid").alias("a"), shingle_set(F.col("line")).alias("set_a"))
+    met = wanted.join(lines.select(F.col("lid").alias("b"), "line"), "b").join(heads, "a")
+    return met.where(jaccard(F.col("set_a"), shingle_set(F.col("line"))) >= similarity).select("a", "b")
 
 
 def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
