@@ -118,23 +118,26 @@ def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)`` of every line that is linked to another.
 
     Lines of a bucket needn't all meet: those that its first line is linked to
-    are one class, and only lines that this leaves apart are compared further.
-    No link between two classes is lost by that.
+    are one class.  Buckets that this leaves in several classes are taken in
+    twos: lines that agree in the same two of them meet in a finer bucket, and
+    there again those of other classes are held against its first line.  So
+    the pairs are as many as the rows of the buckets, not as their squares.
     """
     over = Window.partitionBy("bucket")
     members = bands(lines).select("bucket", "lid", F.count(F.lit(1)).over(over).alias("n"), F.min("lid").over(over).alias("lead"))
     members = materialize(members.where("n > 1"), "buckets")
-    stars = members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b"))
+    stars = materialize(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b")).distinct(), "stars")
     found = materialize(verified(stars, lines, similarity), "links")
     classes = materialize(connected_components(found, "a", "b"), "classes")
-    # A bucket that its first line didn't unite: what is outside its largest class meets the rest, but for its own class.
     known = members.select("bucket", "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
-    sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("top.root").alias("main"))
-    sorted_out = materialize(known.join(main, "bucket").join(lines.select("lid", F.length("line").alias("chars")), "lid").withColumn("step", F.floor(F.log("chars") / F.log(F.lit(1 / similarity)))), "apart")
-    odd = sorted_out.where("root <> main").select("bucket", F.col("lid").alias("a"), F.col("root").alias("root_a"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    rest = sorted_out.select("bucket", F.col("lid").alias("b"), F.col("root").alias("root_b"), "step")
-    more = odd.join(rest, ["bucket", "step"]).where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    # A line has a bucket for each band, so the list of them is short.
+    still = known.join(apart, "bucket", "left_semi").groupBy("lid", "root").agg(F.sort_array(F.collect_set("bucket")).alias("all")).where(F.size("all") > 1)
+    firsts = still.select("lid", "root", "all", F.posexplode("all").alias("i", "one"))
+    twos = firsts.select("lid", "root", "one", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("two"))
+    finer = Window.partitionBy("one", "two")
+    met = twos.select("lid", "root", F.min(F.struct("lid", "root")).over(finer).alias("lead")).where("root <> lead.root")
+    more = met.select(F.least("lid", "lead.lid").alias("a"), F.greatest("lid", "lead.lid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     extra = materialize(verified(more, lines, similarity), "links")
     if not extra.limit(1).count():
         return classes
