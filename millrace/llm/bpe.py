@@ -29,7 +29,7 @@ from millrace.llm.tokenizing import BYTE_LEVEL, UNSURE, WordCache, plain_pattern
 
 #: Characters of text whose distinct words are replayed together (a longer text is a block of its own), texts taken
 #: from Arrow at a time, and words kept between blocks.
-BLOCK, TEXTS, CACHED = 4 << 20, 1024, 3 << 17
+BLOCK, TEXTS, CACHED = 4 << 20, 1024, 1 << 19
 
 
 class Ranks:
