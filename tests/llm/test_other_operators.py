@@ -194,6 +194,21 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert now.select("doc_id").distinct().count() == counts[-1] and "sequence_id" in now.columns
 
 
+def test_stages_on_rows_without_names_and_texts(spark):
+    clean = " ".join(f"word{i % 97} and{i}" for i in range(60))
+    rows = [(None, clean, None, None, 5), (None, "junk", "en", "s", 4), (None, None, "en", None, None), (1, None, None, "s", None), (2, "", "en", "s", 0), (3, clean + " end", "en", "s", 9), (3, clean + " end", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    now, left = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = materialize(stage(spark, now, SMALL), name)
+        left.append(sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in now.collect()))
+    full = len(clean)
+    assert left == [[(0, full), (3, full + 4), (3, full + 4)]] * 2 + [[(0, full), (3, full + 4)]]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), SMALL)
+        assert out.count() == 0
+
+
 def test_the_registry():
     assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
     assert {"pipeline", *registry.queries()} <= set(entry.queries()) and set(registry.oracle_sql()) <= set(registry.queries())
