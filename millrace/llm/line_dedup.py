@@ -179,7 +179,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = line_classes(named, id_col, text_col, similarity).where(~F.col("kept")).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     gone = materialize(gone, "gone")
     left = F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
-    changed = named.join(gone, named[id_col] == gone["__id"], "left").withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
+    # What goes has no bound on its size, so it is never broadcast.
+    changed = named.join(gone.hint("merge"), named[id_col] == gone["__id"], "left").withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
     changed = changed.where(F.col("__left").isNull() | (F.size("__left") > 0))
     text = F.when(F.col("__left").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
     columns = [text.alias(c) if c == text_col else F.when(F.col("__left").isNull(), F.col(c)).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

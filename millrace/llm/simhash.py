@@ -139,7 +139,8 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     members = materialize(simhash_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, max_bits), "members")
     ids = members.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("low"))
-    keep = materialize(ids.where(F.col("low") == F.col(id_col)).select(id_col, "rows"), "keepers")
-    single = docs.join(keep.where("rows = 1"), id_col, "left_semi")
-    repeated = docs.join(keep.where("rows > 1"), id_col, "left_semi").dropDuplicates([id_col])
+    # Those that go are mostly fewer than those that stay, so they are what meets the texts.
+    ids = materialize(ids.select(id_col, "rows", (F.col("low") == F.col(id_col)).alias("stays")), "keepers")
+    single = docs.where(F.col(id_col).isNotNull()).join(ids.where("not stays or rows > 1"), id_col, "left_anti")
+    repeated = docs.join(ids.where("stays and rows > 1"), id_col, "left_semi").dropDuplicates([id_col])
     return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
