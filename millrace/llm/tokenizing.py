@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,6 +25,16 @@ _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 UNSURE = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write each byte as: itself if it is visible, or the next one from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_CHARACTERS = byte_characters()
+
+
 def plain_pattern(pattern: str) -> re.Pattern:
     """The pattern for texts without UNSURE characters."""
     for name, members in ((r"\p{L}", _LETTERS), (r"\p{N}", _NUMBERS)):
@@ -32,6 +44,8 @@ def plain_pattern(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("packed ids need 32-bit little-endian integers")
 #: Words kept by a worker, and texts encoded together.
 CACHED, TOGETHER = 1 << 19, 128
 
@@ -87,17 +101,14 @@ class WordEncoder:
         self.cache = WordCache()
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of the words, which are kept for a while."""
-        todo, found = list(words), {}
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part)), side="right") * 4
-            packed, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist()):
-                found[word] = packed[begin:end]
-                begin = end
+        """The ids of the words, which are kept for a while.
+
+        Both kinds of vocabulary hand a word to the model as one character for
+        each of its bytes, so the model can be asked without the passes over
+        whole texts around it.
+        """
+        tokenize = self.library.model.tokenize
+        found = {w: array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(_CHARACTERS))]).tobytes() for w in words}
         self.cache.add(found)
         return found
 
