@@ -19,6 +19,8 @@ from millrace.llm.graph import connected_components
 #: Characters of a shingle, least similarity, characters below which a line is left alone.
 SHINGLE, SIMILARITY, LEAST_CHARS = 6, 0.8, 20
 BANDS, ROWS = 8, 4
+#: Longs of a sketch; lines outside a bucket's largest class that a slice of the bucket is to have.
+WORDS, SLICE = 4, 512
 #: ``(more than, at most, mask)``: long lines have shingles to spare, so only those whose hash has no bit of the
 #: mask count.  Lines within reach of each other in length share a class, as the classes overlap by the similarity.
 CLASSES = ((0, 320, 0), (256, 1280, 0b11 << 5), (1024, None, 0b1111 << 5))
@@ -114,14 +116,52 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     return met.where(jaccard(F.col("set_a"), shingle_set(F.col("line"))) >= similarity).select("a", "b")
 
 
+def sketches(lines: DataFrame) -> DataFrame:
+    """``(lid, size, w0 .. w3)``: the size of each line's shingle set and, in 256 bits, which bits an odd number of its shingles fall on.
+
+    The sketches of two sets differ in no more bits than the sets differ in
+    shingles, so they bound the similarity from above.
+    """
+    s = F.col("s")
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 32) & 63 as int))")
+    word = F.shiftrightunsigned(s, 38).bitwiseAND(F.lit(WORDS - 1))
+    words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS)]
+    return lines.select("lid", F.explode(shingle_set(F.col("line"))).alias("s")).groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
+
+
+def unsettled(known: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of a bucket and different classes that may be similar; ``known`` has ``(bucket, lid, root)``.
+
+    Whatever is outside a bucket's largest class meets all other classes.  Only
+    pairs go of which the sizes or the sketches prove that they aren't similar.
+    Buckets with many lines outside are dealt over slices, and what these
+    lines meet is repeated for each slice.
+    """
+    sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    main = main.select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / SLICE).cast("int").alias("slices"))
+    apart = materialize(known.join(main, "bucket"), "apart")
+    drawn = sketches(lines.join(apart.select("lid").distinct(), "lid", "left_semi"))
+    # Similar sets' sizes differ by the similarity at most, so by one step at most.
+    apart = materialize(apart.join(drawn, "lid").withColumn("step", F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")), "drawn")
+    words = [f"w{k}" for k in range(WORDS)]
+    odd = apart.where("root <> main").select("bucket", "lid", "root", "size", *words, F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))).alias("step"), F.pmod(F.xxhash64("lid"), F.col("slices")).cast("int").alias("slice"))
+    rest = apart.select("bucket", "step", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("lid").alias("lid_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("in_main"), F.col("size").alias("size_b"), *(F.col(w).alias(w + "_b") for w in words))
+    both = F.col("size") + F.col("size_b")
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(w + "_b"))) for w in words), F.lit(0))
+    may = differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6
+    # Two lines outside the largest class meet from both sides; one is enough.
+    on = [odd[c] == rest[c] for c in ("bucket", "step", "slice")] + [F.col("root") != F.col("root_b"), F.col("in_main") | (F.col("lid") < F.col("lid_b")), may]
+    return odd.join(rest, on).select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b"))
+
+
 def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)`` of every line that is linked to another.
 
     Lines of a bucket needn't all meet: those that its first line is linked to
-    are one class.  Buckets that this leaves in several classes are taken in
-    twos: lines that agree in the same two of them meet in a finer bucket, and
-    there again those of other classes are held against its first line.  So
-    the pairs are as many as the rows of the buckets, not as their squares.
+    are one class, and only lines that this leaves in different classes are
+    compared further.  All of these are, so no link between two classes of a
+    bucket is lost.
     """
     over = Window.partitionBy("bucket")
     members = bands(lines).select("bucket", "lid", F.count(F.lit(1)).over(over).alias("n"), F.min("lid").over(over).alias("lead"))
@@ -130,14 +170,7 @@ def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = materialize(verified(stars, lines, similarity), "links")
     classes = materialize(connected_components(found, "a", "b"), "classes")
     known = members.select("bucket", "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
-    apart = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    # A line has a bucket for each band, so the list of them is short.
-    still = known.join(apart, "bucket", "left_semi").groupBy("lid", "root").agg(F.sort_array(F.collect_set("bucket")).alias("all")).where(F.size("all") > 1)
-    firsts = still.select("lid", "root", "all", F.posexplode("all").alias("i", "one"))
-    twos = firsts.select("lid", "root", "one", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("two"))
-    finer = Window.partitionBy("one", "two")
-    met = twos.select("lid", "root", F.min(F.struct("lid", "root")).over(finer).alias("lead")).where("root <> lead.root")
-    more = met.select(F.least("lid", "lead.lid").alias("a"), F.greatest("lid", "lead.lid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = unsettled(known, lines, similarity).distinct().join(stars, ["a", "b"], "left_anti")
     extra = materialize(verified(more, lines, similarity), "links")
     if not extra.limit(1).count():
         return classes

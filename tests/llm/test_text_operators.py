@@ -320,6 +320,22 @@ def test_documents_lose_lines_and_empty_ones_go(spark):
     assert line_dedup.drop_lines(docs.limit(0)).columns == docs.columns
 
 
+@pytest.mark.parametrize("slice_of", [512, 2])
+def test_lines_of_a_bucket_are_linked_past_its_first_line(spark, monkeypatch, slice_of):
+    monkeypatch.setattr(line_dedup, "SLICE", slice_of)
+    luck = random.Random(7)
+    word = lambda: "".join(luck.choices("abcdefghij", k=9))
+    twins = []
+    for _ in range(8):
+        one = " ".join(word() for _ in range(12))
+        twins += [one, one + " x1", one + " y2"]
+    docs = corpus(spark, ["\n".join([" ".join(word() for _ in range(12)) for _ in range(6)] + twins)])
+    # All lines agree in one band, and no line of a pair need be the first.
+    monkeypatch.setattr(line_dedup, "bands", lambda lines: lines.select("lid", F.lit(1).cast("bigint").alias("bucket")))
+    rows = sorted(line_dedup.line_classes(docs).collect(), key=lambda r: r["line_no"])
+    assert [r["first_line"] for r in rows] == [*range(6), *(6 + i - i % 3 for i in range(24))]
+
+
 # Quality rules
 
 
