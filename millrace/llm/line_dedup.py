@@ -107,16 +107,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return _let(sets, lambda s: _let(both(s), lambda k: k / (F.size(s["a"]) + F.size(s["b"]) - k)))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, set_of=shingle_set) -> DataFrame:
     """Of the pairs ``(a, b)`` of lids, each once, those whose lines' shingle sets are similar enough."""
     wanted = materialize(pairs.distinct(), "pairs")
     # The first line of a bucket is one for many others, so its set is built before they meet.
-    heads = lines.join(wanted.select(F.col("a").alias("lid")).distinct(), "lid", "left_semi").select(F.col("lid").alias("a"), shingle_set(F.col("line")).alias("set_a"))
+    heads = lines.join(wanted.select(F.col("a").alias("lid")).distinct(), "lid", "left_semi").select(F.col("lid").alias("a"), set_of(F.col("line")).alias("set_a"))
     met = wanted.join(lines.select(F.col("lid").alias("b"), "line"), "b").join(heads, "a")
-    return met.where(jaccard(F.col("set_a"), shingle_set(F.col("line"))) >= similarity).select("a", "b")
+    return met.where(jaccard(F.col("set_a"), set_of(F.col("line"))) >= similarity).select("a", "b")
 
 
-def sketches(lines: DataFrame) -> DataFrame:
+def sketches(lines: DataFrame, set_of=shingle_set) -> DataFrame:
     """``(lid, size, w0 .. w3)``: the size of each line's shingle set and, in 256 bits, which bits an odd number of its shingles fall on.
 
     The sketches of two sets differ in no more bits than the sets differ in
@@ -126,10 +126,10 @@ def sketches(lines: DataFrame) -> DataFrame:
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 32) & 63 as int))")
     word = F.shiftrightunsigned(s, 38).bitwiseAND(F.lit(WORDS - 1))
     words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS)]
-    return lines.select("lid", F.explode(shingle_set(F.col("line"))).alias("s")).groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
+    return lines.select("lid", F.explode(set_of(F.col("line"))).alias("s")).groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
 
 
-def unsettled(known: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def unsettled(known: DataFrame, lines: DataFrame, similarity: float, set_of=shingle_set) -> DataFrame:
     """Pairs ``(a, b)`` of a bucket and different classes that may be similar; ``known`` has ``(bucket, lid, root)``.
 
     Whatever is outside a bucket's largest class meets all other classes.  Only
@@ -141,7 +141,7 @@ def unsettled(known: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
     main = main.select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / SLICE).cast("int").alias("slices"))
     apart = materialize(known.join(main, "bucket"), "apart")
-    drawn = sketches(lines.join(apart.select("lid").distinct(), "lid", "left_semi"))
+    drawn = sketches(lines.join(apart.select("lid").distinct(), "lid", "left_semi"), set_of)
     # Similar sets' sizes differ by the similarity at most, so by one step at most.
     apart = materialize(apart.join(drawn, "lid").withColumn("step", F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")), "drawn")
     words = [f"w{k}" for k in range(WORDS)]
@@ -155,23 +155,25 @@ def unsettled(known: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     return odd.join(rest, on).select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b"))
 
 
-def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(lines: DataFrame, similarity: float = SIMILARITY, buckets: DataFrame | None = None, set_of=shingle_set) -> DataFrame:
     """``(node, root)`` of every line that is linked to another.
 
     Lines of a bucket needn't all meet: those that its first line is linked to
     are one class, and only lines that this leaves in different classes are
     compared further.  All of these are, so no link between two classes of a
-    bucket is lost.
+    bucket is lost.  Other things than lines come with ``(lid, bucket)`` of
+    their own and what makes a set of shingle hashes of their ``line``.
     """
+    buckets = bands(lines) if buckets is None else buckets
     over = Window.partitionBy("bucket")
-    members = bands(lines).select("bucket", "lid", F.count(F.lit(1)).over(over).alias("n"), F.min("lid").over(over).alias("lead"))
+    members = buckets.select("bucket", "lid", F.count(F.lit(1)).over(over).alias("n"), F.min("lid").over(over).alias("lead"))
     members = materialize(members.where("n > 1"), "buckets")
     stars = materialize(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b")).distinct(), "stars")
-    found = materialize(verified(stars, lines, similarity), "links")
+    found = materialize(verified(stars, lines, similarity, set_of), "links")
     classes = materialize(connected_components(found, "a", "b"), "classes")
     known = members.select("bucket", "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
-    more = unsettled(known, lines, similarity).distinct().join(stars, ["a", "b"], "left_anti")
-    extra = materialize(verified(more, lines, similarity), "links")
+    more = unsettled(known, lines, similarity, set_of).distinct().join(stars, ["a", "b"], "left_anti")
+    extra = materialize(verified(more, lines, similarity, set_of), "links")
     if not extra.limit(1).count():
         return classes
     return materialize(connected_components(found.unionByName(extra), "a", "b"), "classes")

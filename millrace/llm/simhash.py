@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, text_or_empty
 from millrace.llm.graph import connected_components
+from millrace.llm.line_dedup import links
 
 SEED = 42
 BYTES = 8
@@ -27,6 +28,9 @@ BYTES = 8
 LONG_LIST = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 16
+#: Bands of a text's MinHash signature and hashes of a band: texts of similarity 0.8 share a band with probability 0.9998.
+COPY_BANDS, COPY_ROWS = 16, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, COPY_BANDS * COPY_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -138,9 +142,86 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     without an id belong to no group and stay.
     """
     members = materialize(simhash_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, max_bits), "members")
+    return _keep_first(docs, members, id_col)
+
+
+def _keep_first(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without those whose ``component_id`` in ``members`` is another's id."""
     ids = members.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("low"))
     # Those that go are mostly fewer than those that stay, so they are what meets the texts.
     ids = materialize(ids.select(id_col, "rows", (F.col("low") == F.col(id_col)).alias("stays")), "keepers")
     single = docs.where(F.col(id_col).isNotNull()).join(ids.where("not stays or rows > 1"), id_col, "left_anti")
     repeated = docs.join(ids.where("stays and rows > 1"), id_col, "left_semi").dropDuplicates([id_col])
     return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles; fewer words than a shingle are one shingle."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def copy_buckets(hashes: np.ndarray) -> list[int]:
+    """A bucket for each band of the MinHash signature, as signed longs."""
+    if not len(hashes):
+        return []
+    least = np.min([((hashes[at : at + 4096, None] ^ _MIX[0]) * _MIX[1]).min(0) for at in range(0, len(hashes), 4096)], axis=0)
+    digests = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(COPY_BANDS, COPY_ROWS))]
+    return np.array(digests, np.uint64).view(np.int64).tolist()
+
+
+def shingle_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group linked by a Jaccard similarity of word shingles.
+
+    Two bits of a SimHash stand for far closer copies, and the bits that a
+    similarity of 0.8 may change spoil all bytes, so candidates come from MinHash
+    bands; each is verified by its exact shingle sets.  Texts of the same words are
+    one node, texts without words too; two that only share its 64-bit name are
+    left alone.  Rows that share an id are one document, rows without an id stay.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    source = named.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sign(batches):
+        for batch in batches:
+            names, proofs, buckets = [], [], []
+            for text in batch.column(1).to_pylist():
+                words = _words(text)
+                whole = b" ".join(words)
+                names.append(xxhash.xxh64_intdigest(whole, SEED))
+                proofs.append(xxhash.xxh64_intdigest(whole, SEED + 1))
+                buckets.append(copy_buckets(shingle_hashes(words, shingle)))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (names, proofs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(buckets, pa.list_(pa.int64()))], ["id", "lid", "proof", "buckets"])
+
+    def gather(batches):
+        for batch in batches:
+            names, sets = [], []
+            for text in batch.column(1).to_pylist():
+                words = _words(text)
+                names.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                sets.append(shingle_hashes(words, shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["lid", "line"])
+
+    rows = materialize(source.mapInArrow(sign, f"id {kind}, lid bigint, proof bigint, buckets array<bigint>"), "signed")
+    nodes = rows.groupBy("lid").agg(F.min("id").alias("low"), F.min("proof").alias("p0"), F.max("proof").alias("p1"), F.min("buckets").alias("buckets"))
+    nodes = materialize(nodes.where("p0 = p1").select("lid", "low", "buckets"), "nodes")
+    every = nodes.select("lid", "low", F.explode("buckets").alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    met = materialize(every.join(shared, "bucket", "left_semi"), "met")
+    # Only texts that meet another have their shingles written out.
+    asked = source.join(met.select(F.col("low").alias("id")).distinct(), "id", "left_semi")
+    sets = asked.mapInArrow(gather, "lid bigint, line array<bigint>").join(met.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"])
+    linked = links(materialize(sets, "sets"), similarity, met.select("lid", "bucket"), lambda x: x)
+    roots = materialize(nodes.select("lid", "low").join(linked.withColumnRenamed("node", "lid"), "lid", "left").select("lid", "low", F.coalesce("root", "lid").alias("root")), "roots")
+    lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = roots.join(lowest, "root").select("lid", "component_id")
+    members = rows.select("id", "lid").join(classes, "lid", "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
+    return _keep_first(docs, materialize(members, "members"), id_col)

@@ -87,6 +87,20 @@ def test_one_document_of_a_group_stays(spark):
     assert simhash.simhash_near_dedup(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
+    import corpus_pipeline
+
+    luck = random.Random(12)
+    base = [luck.choices([f"w{i}" for i in range(900)], k=120) for _ in range(4)]
+    changed = lambda ws, places: " ".join("other" if i in places else w for i, w in enumerate(ws))
+    # Of 116 shingles one word changes 5 and four words 20: a similarity of 0.92 and one of 0.71.
+    texts = [" ".join(b) for b in base] + [changed(b, {60}) for b in base] + [changed(b, {20, 50, 80, 110}) for b in base] + [base[0][0].upper(), base[0][0]]
+    close = [(slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[i + 4])).bit_count() for i in range(4)]
+    assert max(close) > 2
+    kept = corpus_pipeline.near_dedup(spark, corpus(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 8, 9, 10, 11, 12]
+
+
 # Packing
 
 
