@@ -17,13 +17,15 @@ from millrace.llm.common import materialize, scratch_path, text_or_empty
 from millrace.llm.graph import connected_components
 
 #: Characters of a shingle, least similarity, characters below which a line is left alone.
-SHINGLE, SIMILARITY, LEAST_CHARS = 6, 0.8, 20
+SHINGLE, SIMILARITY, LEAST_CHARS = 6, 0.8, 1
 BANDS, ROWS = 8, 4
+#: Lines of at most so many shingles fill too few bins, so their least shingles are their buckets.
+SHORT = 14
 #: Longs of a sketch; lines outside a bucket's largest class that a slice of the bucket is to have.
 WORDS, SLICE = 4, 512
 #: ``(more than, at most, mask)``: long lines have shingles to spare, so only those whose hash has no bit of the
 #: mask count.  Lines within reach of each other in length share a class, as the classes overlap by the similarity.
-CLASSES = ((0, 320, 0), (256, 1280, 0b11 << 5), (1024, None, 0b1111 << 5))
+CLASSES = ((SHORT, 320, 0), (256, 1280, 0b11 << 5), (1024, None, 0b1111 << 5))
 
 
 def _wide(line: Column) -> Column:
@@ -70,8 +72,13 @@ def bands(lines: DataFrame) -> DataFrame:
 
     The lines come bucketed by ``lid``, so that the grouping needs no
     exchange.  An empty bin is a value like any other, but a band with fewer
-    than two filled bins says too little and has no bucket.
+    than two filled bins says too little and has no bucket.  Short lines, and
+    those within reach of them, have a bucket for each of the least hashes that
+    two similar sets can't all miss.
     """
+    size, reach = F.size("set"), int(SHORT / SIMILARITY + 1e-9)
+    some = F.slice(F.sort_array("set"), 1, (size - F.ceil(size * SIMILARITY - 1e-9) + 1).cast("int"))
+    short = lines.where(F.length("line").between(SHINGLE, reach + SHINGLE - 1)).select("lid", shingle_set(F.col("line")).alias("set")).select("lid", F.explode(some).alias("s"))
     n = F.length("line") - SHINGLE + 1
     fits = [F.when((n > low) & (n <= high if high else F.lit(True)), F.lit(k)) for k, (low, high, _) in enumerate(CLASSES)]
     mask = F.lit(0)
@@ -86,7 +93,7 @@ def bands(lines: DataFrame) -> DataFrame:
     )
     least = hashed.groupBy("lid", "band").agg(*(F.min(F.when(F.col("row") == k, F.col("s"))).alias(f"m{k}") for k in range(ROWS)))
     filled = sum((F.when(F.col(f"m{k}").isNotNull(), 1).otherwise(0) for k in range(ROWS)), F.lit(0))
-    return least.where(filled >= 2).select("lid", F.xxhash64("band", *(F.coalesce(f"m{k}", F.lit(0)) for k in range(ROWS))).alias("bucket"))
+    return least.where(filled >= 2).select("lid", F.xxhash64("band", *(F.coalesce(f"m{k}", F.lit(0)) for k in range(ROWS))).alias("bucket")).unionByName(short.select("lid", F.xxhash64(F.lit(-1), "s").alias("bucket")))
 
 
 def _let(value: Column, body) -> Column:
@@ -183,9 +190,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, line_no, first_doc, first_line, kept)`` for every line of every row of ``docs``.
 
     ``first_doc`` and ``first_line`` name the earliest line of its class, the
-    one that stays.  Lines under ``LEAST_CHARS`` characters (when trimmed) are
-    classes of their own and stay, so a null or empty text keeps its one empty
-    line.  Rows that agree in id and text are one document, whose lines stay
+    one that stays.  Blank lines are classes of their own and
+    stay, so a null or empty text keeps its one empty line; lines too short for
+    a shingle are linked to equal ones only.  Rows that agree in id and text are one document, whose lines stay
     or go on all of them; rows without an id sort before all others.
     """
     lines = distinct_lines(docs, id_col, text_col)
@@ -206,7 +213,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the lines that ``line_classes`` keeps, in order and with their own spelling.
 
-    Documents of which no line is left go; those without a duplicate line are
+    Documents of which no line but blank ones is left go; those without a duplicate line are
     untouched.  Rows without an id can't be named, so they stay as they are.
     ``n_chars``, where ``docs`` has it, follows the text.
     """
@@ -216,7 +223,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
     # What goes has no bound on its size, so it is never broadcast.
     changed = named.join(gone.hint("merge"), named[id_col] == gone["__id"], "left").withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    changed = changed.where(F.col("__left").isNull() | (F.size("__left") > 0))
+    changed = changed.where(F.col("__left").isNull() | F.exists("__left", lambda x: F.length(F.trim(x, F.lit(" \t\r"))) >= LEAST_CHARS))
     text = F.when(F.col("__left").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
     columns = [text.alias(c) if c == text_col else F.when(F.col("__left").isNull(), F.col(c)).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return changed.select(*columns).unionByName(docs.where(F.col(id_col).isNull()))

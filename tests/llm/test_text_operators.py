@@ -350,6 +350,13 @@ def test_lines_of_a_bucket_are_linked_past_its_first_line(spark, monkeypatch, sl
     assert [r["first_line"] for r in rows] == [*range(6), *(6 + i - i % 3 for i in range(24))]
 
 
+def test_short_lines_take_part(spark):
+    a, b = "the first long line of all documents", "another line that is long enough too"
+    docs = corpus(spark, [f"{a}\nles.\n\nchapter one 12", f"{a}\nles.\n\nCHAPTER ONE 12", f"{b}\nLes. \n", "chapter one 123\nles", "\n\n"])
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs).collect()}
+    assert out == {0: f"{a}\nles.\n\nchapter one 12", 2: f"{b}\n", 3: "les", 4: "\n\n"}
+
+
 # Quality rules
 
 
