@@ -172,6 +172,11 @@ def test_neighbours_with_copies_and_bad_vectors(spark, monkeypatch, block):
     assert got[0] == want[0] == [600, 601, 602, 603, 604]
 
 
+def test_at_most_one_in_a_hundred_neighbours_is_ruled_out():
+    # A neighbour at this multiple of its squared distance in projection is still looked for.
+    assert 1 - chi2_cdf(chi2_quantile(ann.CONFIDENCE, ann.DIRECTIONS), ann.DIRECTIONS) <= 0.01 + 1e-9
+
+
 def test_few_or_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(table, table.where("vec_id = 0")).collect()] == [(0, 1, 1)]
