@@ -119,6 +119,12 @@ def test_blocks_of_a_page(page, blocks):
     assert html_extract.extract(page, None, frozenset()) == blocks
 
 
+@pytest.mark.parametrize("name", ['class="content no-sidebar"', 'class="layout-sidebar-right"', 'class="post ad-free"', 'class="row hidden-xs"', 'id="related-work"', 'class="widget"'])
+def test_a_name_does_not_cost_the_main_text(name):
+    page = f'<body><div class="sidebar">links</div><div {name}><p>The main text of the page stands here.</p></div></body>'
+    assert html_extract.extract(page, None, frozenset()) == ["The main text of the page stands here."]
+
+
 def test_constant_texts_of_a_host_go(spark):
     page = "<body><div><p>Welcome to our site</p><h2>{0}</h2><p>{0} is what this page says</p>{1}<p>All about us</p></div></body>"
     rows = [(i, f"http://h.org/{i}", page.format(f"Word{i}", "<p>More</p>" * (i % 3)), i) for i in range(8)]
