@@ -10,22 +10,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder named by ``spark.checkpoint.dir``, or in a temporary one where none is named."""
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A temporary folder of this machine serves only where the session names
+    none and everything runs in one process; elsewhere executors would each
+    write to a disk of their own, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage with files that outlive any executor, so a lost executor
+    costs the tasks it was running and nothing more.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _store(spark, path)
+    fs.delete(target, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind materialized frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_millrace_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+class Scratch:
+    """Materializes the steps of an operator and deletes them once its result is written."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.frames.append(materialize(df, label))
+        return self.frames[-1]
+
+    def own(self, df: DataFrame) -> DataFrame:
+        """Take over a frame that is materialized already."""
+        self.frames.append(df)
+        return df
+
+    def clear(self) -> None:
+        discard(*self.frames)
+        self.frames = []
 
 
 def _store(spark: SparkSession, path: str):
