@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chi2_quantile, materialize
+from millrace.llm.common import chi2_quantile
+from millrace.sources.storage import materialize
 
 #: Directions, confidence of the stopping test, rows that the planes are fitted on.
 DIRECTIONS, CONFIDENCE, SAMPLE = 8, 0.99, 20_000

@@ -29,8 +29,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch_path, text_or_empty
+from millrace.llm.common import text_or_empty
 from millrace.llm.tokenizing import word_encoder
+from millrace.sources.storage import scratch_path
 
 _HEAD, _SUM, _OWN, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB"), struct.Struct("<QQ")
 #: Bytes that a reader asks of the store at a time.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialize
+from millrace.sources.storage import discard, materialize
 
 
 def _star(both: DataFrame, larger: bool) -> DataFrame:
@@ -52,7 +52,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     ``root`` is the least node of the component and has a row of its own.
     Each round is written to the shared folder; the rounds are logarithmic in
     the longest path.  Self loops and repeated edges are ignored, an edge with
-    a null end too.
+    a null end too; without an edge there is no row.  The result is
+    materialized.
     """
     now = materialize(
         edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
@@ -68,4 +69,6 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         if mark == before:
             break
     members = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return members.unionByName(members.select(F.col("root").alias("node"), "root").distinct())
+    out = materialize(members.unionByName(members.select(F.col("root").alias("node"), "root").distinct()), "components")
+    discard(now)
+    return out

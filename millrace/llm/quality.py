@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chi2_cdf, chi2_quantile, materialize, text_or_empty
+from millrace.llm.common import chi2_cdf, chi2_quantile, text_or_empty
+from millrace.sources.storage import materialize
 
 #: Contract: limits of the base rules.
 MIN_WORDS, MAX_REPEATED = 50, 50

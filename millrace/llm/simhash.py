@@ -1,11 +1,13 @@
 """SimHash near-duplicate detection over a byte-position inverted index.
 
 A fingerprint has eight bytes.  Two fingerprints that differ in at most ``d``
-bits agree in at least ``8 - d`` byte positions, the *guaranteed minimum*.
-Distinct fingerprints are posted under groups of byte positions chosen so that
-agreement in the guaranteed minimum implies a shared posting; for each pair
-that meets in a posting list the shared positional bytes are tallied, pairs
-below the minimum are dropped and the rest verified bit by bit.
+bits agree in at least ``8 - d`` byte positions.  Distinct fingerprints are
+posted under 14 groups of four byte positions: the fours whose numbers, as
+three bits each, cancel out.  Any three positions lie in exactly one of them, so
+fingerprints that agree in eight, seven or six positions share exactly 14,
+seven or three groups, and those that agree in fewer share one or none.  The
+shared groups of each pair that meets in the index are tallied, pairs under the
+guaranteed minimum are dropped, and the rest is verified bit by bit.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, text_or_empty
+from millrace.llm.common import text_or_empty
 from millrace.llm.graph import connected_components
 from millrace.llm.line_dedup import links
+from millrace.sources.storage import Scratch, discard, materialize
 
 SEED = 42
 BYTES = 8
+GROUPS = [g for g in combinations(range(BYTES), 4) if g[0] ^ g[1] ^ g[2] ^ g[3] == 0]
+#: Groups that fingerprints of so many differing bits share at least.
+SHARED = {0: 14, 1: 7, 2: 3}
 #: Posting lists longer than this are split by further byte positions; no row is lost.
 LONG_LIST = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -77,42 +83,50 @@ def _key(positions: tuple[int, ...]) -> Column:
     return key
 
 
-def near_pairs(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``(fp_a, fp_b)`` with ``fp_a < fp_b`` for all distinct fingerprints within ``max_bits``.
+def tallied_pairs(prints: DataFrame, keep: Scratch) -> DataFrame:
+    """``(fp_a, fp_b, tally)``: the groups of byte positions that two fingerprints share, for all pairs that agree in six positions or more.
 
-    ``prints`` has one row ``fp`` per distinct fingerprint.  The positions are
-    taken in four pairs: ``max_bits`` of at most two spoil at most two of them,
-    so two fingerprints in reach share a list under one of the six choices of
-    two pairs.  A list longer than ``LONG_LIST`` is split in the same manner by
-    two of its four free positions, which leaves at most 2**16 entries each.
+    ``prints`` has one row ``fp`` per distinct fingerprint.  A posting list
+    longer than ``LONG_LIST`` is split by each two of the four positions that
+    its group leaves free, so that its members meet under six equal bytes;
+    pairs that agree in fewer may then be missing or have a lower tally.
     """
-    if not 0 <= max_bits <= 2:
-        raise ValueError("the position groups guarantee a shared list up to two bits")
-    least = BYTES - max_bits
-    doubles = [(2 * i, 2 * i + 1) for i in range(BYTES // 2)]
-    groups = [a + b for a, b in combinations(doubles, 2)]
-    postings = materialize(
+    postings = keep(
         prints.select(
             "fp",
-            F.explode(F.array(*(F.struct(F.lit(g).alias("g"), _key(at).alias("key")) for g, at in enumerate(groups)))).alias("p"),
+            F.explode(F.array(*(F.struct(F.lit(g).alias("g"), _key(at).alias("key")) for g, at in enumerate(GROUPS)))).alias("p"),
         ).select("fp", "p.*"),
         "postings",
     )
-    lists = materialize(postings.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    lists = keep(postings.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     shared = postings.join(lists, ["g", "key"])
     short = shared.where(F.col("n") <= LONG_LIST).select("fp", "g", "key", F.lit(-1).alias("h"), F.lit(0).cast("bigint").alias("more"))
     finer = F.lit(None)
-    for g, at in enumerate(groups):
+    for g, at in enumerate(GROUPS):
         free = [i for i in range(BYTES) if i not in at]
         choice = F.array(*(F.struct(F.lit(h).alias("h"), _key(two).alias("more")) for h, two in enumerate(combinations(free, 2))))
         finer = F.when(F.col("g") == g, choice).otherwise(finer)
     long = shared.where(F.col("n") > LONG_LIST).select("fp", "g", "key", F.explode(finer).alias("f")).select("fp", "g", "key", "f.*")
-    index = materialize(short.unionByName(long), "index")
+    index = keep(short.unionByName(long), "index")
     on = ["g", "key", "h", "more"]
     met = index.withColumnRenamed("fp", "fp_a").join(index.withColumnRenamed("fp", "fp_b"), on).where("fp_a < fp_b")
-    tally = sum((F.when(_byte(i, "fp_a") == _byte(i, "fp_b"), 1).otherwise(0) for i in range(BYTES)), F.lit(0))
-    kept = met.where(tally >= least).where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits)
-    return kept.select("fp_a", "fp_b").distinct()
+    # A pair of a long list may meet under several choices of two positions, which are one group.
+    return met.select("fp_a", "fp_b", "g").distinct().groupBy("fp_a", "fp_b").agg(F.count(F.lit(1)).alias("tally"))
+
+
+def near_pairs(prints: DataFrame, max_bits: int = 2, least: int | None = None) -> DataFrame:
+    """``(fp_a, fp_b)`` with ``fp_a < fp_b`` for all distinct fingerprints within ``max_bits``.
+
+    Of the tallied pairs those of ``least`` shared groups (the guaranteed
+    minimum, unless given) or more are verified.  The result is materialized.
+    """
+    if max_bits not in SHARED:
+        raise ValueError("the groups guarantee a tally up to two bits")
+    keep = Scratch()
+    candidates = tallied_pairs(prints, keep).where(F.col("tally") >= (SHARED[max_bits] if least is None else least))
+    out = materialize(candidates.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits).select("fp_a", "fp_b"), "near")
+    keep.clear()
+    return out
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -124,14 +138,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and empty texts have the fingerprint zero and are linked like any other.
     A row without an id has a fingerprint but no say in ``component_id``,
     which is null if nothing with an id is in reach.  Repeated rows are
-    repeated in the result; other columns are ignored.
+    repeated in the result; texts of any length are read whole, in parts of
+    bounded size; other columns are ignored; an empty table has no rows.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    linked = connected_components(near_pairs(nodes.select("fp"), max_bits), "fp_a", "fp_b")
+    near = near_pairs(nodes.select("fp"), max_bits)
+    linked = connected_components(near, "fp_a", "fp_b")
     roots = materialize(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = materialize(roots.join(lowest, "root").select("fp", "component_id"), "classes")
+    discard(nodes, near, linked, roots)
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -219,7 +236,7 @@ def shingle_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Only texts that meet another have their shingles written out.
     asked = source.join(met.select(F.col("low").alias("id")).distinct(), "id", "left_semi")
     sets = asked.mapInArrow(gather, "lid bigint, line array<bigint>").join(met.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"])
-    linked = links(materialize(sets, "sets"), similarity, met.select("lid", "bucket"), lambda x: x)
+    linked = links(materialize(sets, "sets"), similarity, met.select("lid", "bucket"), lambda x: x, lambda df: df.select("lid", F.explode("line").alias("s")))
     roots = materialize(nodes.select("lid", "low").join(linked.withColumnRenamed("node", "lid"), "lid", "left").select("lid", "low", F.coalesce("root", "lid").alias("root")), "roots")
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = roots.join(lowest, "root").select("lid", "component_id")
