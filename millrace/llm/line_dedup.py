@@ -1,31 +1,30 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-Lines are lower-cased and trimmed; equal ones are one node.  A node's character
-shingles are hashed once; the hash says which of 32 bins a shingle falls in and
-the least hash of each bin is kept (one-permutation MinHash).  Four bins make a
-band, and lines that agree in a whole band meet in a bucket.  Pairs from the
+Lines are lower-cased and trimmed; equal ones are one node.  Every character
+shingle of a node is hashed; the hash says which of 50 bins the shingle falls in
+and the least hash of each bin is kept (one-permutation MinHash).  Five bins make
+a band, and lines that agree in a whole band meet in a bucket.  Pairs from the
 buckets are verified by the exact Jaccard similarity of their shingle sets, and
 a distributed union-find keeps one line of each component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, scratch_path, text_or_empty
+from millrace.llm.common import text_or_empty
 from millrace.llm.graph import connected_components
+from millrace.sources.storage import Scratch, discard, materialize, remove, scratch_path
 
-#: Characters of a shingle, least similarity, characters below which a line is left alone.
-SHINGLE, SIMILARITY, LEAST_CHARS = 6, 0.8, 1
-BANDS, ROWS = 8, 4
-#: Lines of at most so many shingles fill too few bins, so their least shingles are their buckets.
-SHORT = 14
-#: Longs of a sketch; lines outside a bucket's largest class that a slice of the bucket is to have.
+#: Characters of a shingle, least similarity, bands of a signature and bins of a band.
+SHINGLE, SIMILARITY = 6, 0.8
+BANDS, ROWS = 10, 5
+#: Longs of a sketch; members of a bucket that meet one copy of what they are held against.
 WORDS, SLICE = 4, 512
-#: ``(more than, at most, mask)``: long lines have shingles to spare, so only those whose hash has no bit of the
-#: mask count.  Lines within reach of each other in length share a class, as the classes overlap by the similarity.
-CLASSES = ((SHORT, 320, 0), (256, 1280, 0b11 << 5), (1024, None, 0b1111 << 5))
+_BLANK = " \t\r"
 
 
 def _wide(line: Column) -> Column:
@@ -33,78 +32,91 @@ def _wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _slice(wide: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))
+def _trimmed(line: Column) -> Column:
+    # Trimming by a set of characters looks at every character of a line, so only lines that need it are trimmed.
+    ragged = F.lit(False)
+    for c in _BLANK:
+        ragged = ragged | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    return F.when(ragged, F.trim(line, F.lit(_BLANK))).otherwise(line)
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, line_no, norm)`` for every line of every row; ``norm`` is null for lines that are left alone."""
-    exploded = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("line_no", "line"))
-    norm = F.lower(F.trim("line", F.lit(" \t\r")))
-    return exploded.select("doc_id", "line_no", F.when(F.length(norm) >= LEAST_CHARS, norm).alias("norm"))
+    """``(at, norm)`` for every line of every row; ``norm`` is null for blank lines.
+
+    ``at`` is ``(doc_id, line_no, copy)`` with a hash of the whole text, so that
+    rows which share an id but not the text are told apart.
+    """
+    text = text_or_empty(text_col)
+    exploded = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    norm = F.lower(_trimmed(F.col("line")))
+    return exploded.select(F.struct("doc_id", "line_no", "copy").alias("at"), F.when(F.length(norm) > 0, norm).alias("norm"))
 
 
-def _name(norm: Column) -> list[Column]:
-    return [F.xxhash64(norm).alias("lid"), F.xxhash64(F.lit(7), norm).alias("proof")]
+def _named(lines: DataFrame, *more: str) -> DataFrame:
+    """The lines with two 64-bit names; blank lines are named by their place, so that none has another's."""
+    blank = F.col("norm").isNull()
+    name = lambda seed: F.when(blank, F.xxhash64(F.lit(seed), "at")).otherwise(F.xxhash64(F.lit(seed + 1), "norm"))
+    return lines.select("at", *more, name(0).alias("lid"), name(2).alias("proof"))
 
 
-def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A table of distinct lines, bucketed by ``lid``: ``(lid, line, first, n)``.
+class LineTable:
+    """Distinct lines, bucketed by ``lid``: ``(lid, proof, last, line, first, n)``.
 
-    Equal lines meet in partial aggregates.  Two lines that share a 64-bit
-    name are told apart by a second hash and both left alone.
+    Equal lines meet in partial aggregates.  ``proof`` and ``last`` are the
+    least and greatest second name of a ``lid``; where they differ, different
+    lines share the first one.
     """
-    spark = docs.sparkSession
-    rows = lines_of(docs, id_col, text_col).where(F.col("norm").isNotNull())
-    grouped = rows.select(*_name(F.col("norm")), "norm", F.struct("doc_id", "line_no").alias("at")).groupBy("lid").agg(
-        F.min("norm").alias("line"), F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.min("proof").alias("p0"), F.max("proof").alias("p1")
-    )
-    path = scratch_path(spark, "lines")
-    table = "millrace_lines_" + path.rsplit("-", 1)[1]
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = grouped.where("p0 = p1").select("lid", "line", "first", "n")
-    kept.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(width, "lid").saveAsTable(table)
-    return spark.table(table)
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        self.spark = docs.sparkSession
+        rows = _named(lines_of(docs, id_col, text_col).where(F.col("norm").isNotNull()), "norm")
+        grouped = rows.groupBy("lid").agg(F.min("proof").alias("proof"), F.max("proof").alias("last"), F.min("norm").alias("line"), F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+        self.path = scratch_path(self.spark, "lines")
+        self.name = "millrace_lines_" + self.path.rsplit("-", 1)[1]
+        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        grouped.write.format("parquet").option("path", self.path).option("compression", "zstd").bucketBy(width, "lid").saveAsTable(self.name)
+        self.lines = self.spark.table(self.name).where("proof = last")
+        self.clashes = self.spark.table(self.name).where("proof <> last").select("lid")
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table {self.name}")
+        remove(self.spark, self.path)
+
+
+def shingles_of(lines: DataFrame) -> DataFrame:
+    """``(lid, s)``: the hash of every shingle of every line, repeats included."""
+    n = F.length("line") - SHINGLE + 1
+    placed = lines.where(n > 0).select("lid", _wide(F.col("line")).alias("wide"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return placed.select("lid", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * SHINGLE))).alias("s"))
+
+
+def _part(s: str, shift: int, parts: int) -> Column:
+    """Which of so many equal parts 24 bits of a hash fall in."""
+    return F.shiftright(F.shiftrightunsigned(s, shift).bitwiseAND(F.lit((1 << 24) - 1)) * parts, 24).cast("int")
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """``(lid, bucket)``: a row for each band of each line.
+    """``(lid, bucket)``: a row for each band that a shingle of the line falls in.
 
     The lines come bucketed by ``lid``, so that the grouping needs no
-    exchange.  An empty bin is a value like any other, but a band with fewer
-    than two filled bins says too little and has no bucket.  Short lines, and
-    those within reach of them, have a bucket for each of the least hashes that
-    two similar sets can't all miss.
+    exchange.  An empty bin is a value like any other, so lines of few
+    distinct shingles, of which two similar ones differ in few bands or in
+    none, meet too.
     """
-    size, reach = F.size("set"), int(SHORT / SIMILARITY + 1e-9)
-    some = F.slice(F.sort_array("set"), 1, (size - F.ceil(size * SIMILARITY - 1e-9) + 1).cast("int"))
-    short = lines.where(F.length("line").between(SHINGLE, reach + SHINGLE - 1)).select("lid", shingle_set(F.col("line")).alias("set")).select("lid", F.explode(some).alias("s"))
-    n = F.length("line") - SHINGLE + 1
-    fits = [F.when((n > low) & (n <= high if high else F.lit(True)), F.lit(k)) for k, (low, high, _) in enumerate(CLASSES)]
-    mask = F.lit(0)
-    for k, (_, _, bits) in enumerate(CLASSES):
-        mask = F.when(F.col("class") == k, F.lit(bits)).otherwise(mask)
-    classed = lines.select("lid", _wide(F.col("line")).alias("wide"), n.alias("n"), F.explode(F.array_compact(F.array(*fits))).alias("class"))
-    hashed = (
-        classed.select("lid", "wide", "class", mask.cast("bigint").alias("mask"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-        .select("lid", "class", "mask", _slice(F.col("wide"), F.col("i")).alias("s"))
-        .where((F.col("mask") == 0) | (F.col("s").bitwiseAND(F.col("mask")) == 0))
-        .select("lid", (F.col("class") * BANDS + F.shiftright(F.col("s").bitwiseAND(F.lit(BANDS * ROWS - 1)), 2)).cast("int").alias("band"), F.col("s").bitwiseAND(F.lit(ROWS - 1)).cast("int").alias("row"), "s")
-    )
-    least = hashed.groupBy("lid", "band").agg(*(F.min(F.when(F.col("row") == k, F.col("s"))).alias(f"m{k}") for k in range(ROWS)))
-    filled = sum((F.when(F.col(f"m{k}").isNotNull(), 1).otherwise(0) for k in range(ROWS)), F.lit(0))
-    return least.where(filled >= 2).select("lid", F.xxhash64("band", *(F.coalesce(f"m{k}", F.lit(0)) for k in range(ROWS))).alias("bucket")).unionByName(short.select("lid", F.xxhash64(F.lit(-1), "s").alias("bucket")))
-
-
-def _let(value: Column, body) -> Column:
+    binned = shingles_of(lines).select("lid", "s", _part("s", 40, BANDS).alias("band"), _part("s", 16, ROWS).alias("row"))
+    least = binned.groupBy("lid", "band").agg(*(F.min(F.when(F.col("row") == k, F.col("s"))).alias(f"m{k}") for k in range(ROWS)))
+    return least.select("lid", F.xxhash64("band", *(F.coalesce(f"m{k}", F.lit(0)) for k in range(ROWS))).alias("bucket"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body and the optimiser repeat its name."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def shingle_set(line: Column) -> Column:
     """Hashes of a line's distinct shingles."""
-    places = F.sequence(F.lit(0), F.length(line) - SHINGLE)
-    return _let(F.struct(_wide(line).alias("wide"), places.alias("places")), lambda x: F.array_distinct(F.transform(x["places"], lambda i: _slice(x["wide"], i))))
+    places = F.sequence(F.lit(1), (F.length(line) - SHINGLE) * 4 + 1, F.lit(4))
+    return _let(F.struct(_wide(line).alias("wide"), places.alias("places")), lambda x: F.array_distinct(F.transform(x["places"], lambda i: F.xxhash64(F.substring(x["wide"], i, F.lit(4 * SHINGLE))))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -114,30 +126,33 @@ def jaccard(a: Column, b: Column) -> Column:
     return _let(sets, lambda s: _let(both(s), lambda k: k / (F.size(s["a"]) + F.size(s["b"]) - k)))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, set_of=shingle_set) -> DataFrame:
-    """Of the pairs ``(a, b)`` of lids, each once, those whose lines' shingle sets are similar enough."""
-    wanted = materialize(pairs.distinct(), "pairs")
-    # The first line of a bucket is one for many others, so its set is built before they meet.
-    heads = lines.join(wanted.select(F.col("a").alias("lid")).distinct(), "lid", "left_semi").select(F.col("lid").alias("a"), set_of(F.col("line")).alias("set_a"))
-    met = wanted.join(lines.select(F.col("lid").alias("b"), "line"), "b").join(heads, "a")
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float, set_of: Callable[[Column], Column], keep: Scratch) -> DataFrame:
+    """Of the pairs ``(a, b, slice)`` those whose lines' shingle sets are similar enough.
+
+    One ``a`` may be in any number of pairs; each slice of them meets a copy of
+    its set, so no task gathers all of them.
+    """
+    wanted = keep(pairs.groupBy("a", "b").agg(F.min("slice").alias("slice")), "pairs")
+    heads = lines.select(F.col("lid").alias("a"), "line").join(wanted.select("a", "slice").distinct(), "a").select("a", "slice", set_of(F.col("line")).alias("set_a"))
+    met = wanted.join(lines.select(F.col("lid").alias("b"), "line"), "b").join(keep(heads, "heads"), ["a", "slice"])
     return met.where(jaccard(F.col("set_a"), set_of(F.col("line"))) >= similarity).select("a", "b")
 
 
-def sketches(lines: DataFrame, set_of=shingle_set) -> DataFrame:
-    """``(lid, size, w0 .. w3)``: the size of each line's shingle set and, in 256 bits, which bits an odd number of its shingles fall on.
+def sketches(shingles: DataFrame) -> DataFrame:
+    """``(lid, size, w0 .. w3)``: the number of each line's distinct shingles and, in 256 bits, which bits an odd number of them fall on.
 
     The sketches of two sets differ in no more bits than the sets differ in
-    shingles, so they bound the similarity from above.
+    shingles, so they bound the similarity from above.  ``shingles`` is
+    ``(lid, s)``, dealt by ``lid``.
     """
-    s = F.col("s")
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 32) & 63 as int))")
-    word = F.shiftrightunsigned(s, 38).bitwiseAND(F.lit(WORDS - 1))
+    word = F.shiftrightunsigned("s", 38).bitwiseAND(F.lit(WORDS - 1))
     words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS)]
-    return lines.select("lid", F.explode(set_of(F.col("line"))).alias("s")).groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
+    return shingles.groupBy("lid", "s").agg(F.lit(1)).groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
 
 
-def unsettled(known: DataFrame, lines: DataFrame, similarity: float, set_of=shingle_set) -> DataFrame:
-    """Pairs ``(a, b)`` of a bucket and different classes that may be similar; ``known`` has ``(bucket, lid, root)``.
+def unsettled(known: DataFrame, lines: DataFrame, similarity: float, shingles: Callable[[DataFrame], DataFrame], keep: Scratch) -> DataFrame:
+    """Pairs ``(a, b, slice)`` of a bucket and different classes that may be similar; ``known`` has ``(bucket, lid, root)``.
 
     Whatever is outside a bucket's largest class meets all other classes.  Only
     pairs go of which the sizes or the sketches prove that they aren't similar.
@@ -147,10 +162,10 @@ def unsettled(known: DataFrame, lines: DataFrame, similarity: float, set_of=shin
     sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
     main = main.select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / SLICE).cast("int").alias("slices"))
-    apart = materialize(known.join(main, "bucket"), "apart")
-    drawn = sketches(lines.join(apart.select("lid").distinct(), "lid", "left_semi"), set_of)
+    apart = keep(known.join(keep(main, "main"), "bucket"), "apart")
+    drawn = sketches(shingles(lines.join(apart.select("lid").distinct(), "lid", "left_semi").repartition("lid")))
     # Similar sets' sizes differ by the similarity at most, so by one step at most.
-    apart = materialize(apart.join(drawn, "lid").withColumn("step", F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")), "drawn")
+    apart = keep(apart.join(drawn, "lid").withColumn("step", F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")), "drawn")
     words = [f"w{k}" for k in range(WORDS)]
     odd = apart.where("root <> main").select("bucket", "lid", "root", "size", *words, F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))).alias("step"), F.pmod(F.xxhash64("lid"), F.col("slices")).cast("int").alias("slice"))
     rest = apart.select("bucket", "step", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("lid").alias("lid_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("in_main"), F.col("size").alias("size_b"), *(F.col(w).alias(w + "_b") for w in words))
@@ -159,71 +174,110 @@ def unsettled(known: DataFrame, lines: DataFrame, similarity: float, set_of=shin
     may = differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6
     # Two lines outside the largest class meet from both sides; one is enough.
     on = [odd[c] == rest[c] for c in ("bucket", "step", "slice")] + [F.col("root") != F.col("root_b"), F.col("in_main") | (F.col("lid") < F.col("lid_b")), may]
-    return odd.join(rest, on).select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b"))
+    return odd.join(rest, on).select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b"), odd["slice"])
 
 
-def links(lines: DataFrame, similarity: float = SIMILARITY, buckets: DataFrame | None = None, set_of=shingle_set) -> DataFrame:
+def links(
+    lines: DataFrame,
+    similarity: float = SIMILARITY,
+    buckets: DataFrame | None = None,
+    set_of: Callable[[Column], Column] = shingle_set,
+    shingles: Callable[[DataFrame], DataFrame] = shingles_of,
+) -> DataFrame:
     """``(node, root)`` of every line that is linked to another.
 
     Lines of a bucket needn't all meet: those that its first line is linked to
     are one class, and only lines that this leaves in different classes are
     compared further.  All of these are, so no link between two classes of a
     bucket is lost.  Other things than lines come with ``(lid, bucket)`` of
-    their own and what makes a set of shingle hashes of their ``line``.
+    their own, what makes a set of shingle hashes of their ``line`` and what
+    makes rows of them.
     """
-    buckets = bands(lines) if buckets is None else buckets
-    over = Window.partitionBy("bucket")
-    members = buckets.select("bucket", "lid", F.count(F.lit(1)).over(over).alias("n"), F.min("lid").over(over).alias("lead"))
-    members = materialize(members.where("n > 1"), "buckets")
-    stars = materialize(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b")).distinct(), "stars")
-    found = materialize(verified(stars, lines, similarity, set_of), "links")
-    classes = materialize(connected_components(found, "a", "b"), "classes")
+    keep = Scratch()
+    # One exchange by bucket serves the count and the join; buckets of one line end there.
+    dealt = (bands(lines) if buckets is None else buckets).select("bucket", "lid").repartition("bucket")
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("lead")).where("n > 1")
+    members = keep(dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "lid", "n", "lead"), "buckets")
+    slices = F.ceil(F.col("n") / SLICE)
+    stars = members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b"), F.pmod(F.xxhash64("lid"), slices).cast("int").alias("slice"))
+    found = keep(verified(stars, lines, similarity, set_of, keep), "links")
+    classes = keep.own(connected_components(found, "a", "b"))
     known = members.select("bucket", "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
-    more = unsettled(known, lines, similarity, set_of).distinct().join(stars, ["a", "b"], "left_anti")
-    extra = materialize(verified(more, lines, similarity, set_of), "links")
-    if not extra.limit(1).count():
-        return classes
-    return materialize(connected_components(found.unionByName(extra), "a", "b"), "classes")
+    more = unsettled(keep(known, "known"), lines, similarity, shingles, keep)
+    # A star's pair that failed needn't fail again.
+    tried = stars.select("a", "b").distinct()
+    extra = keep(verified(more.join(tried, ["a", "b"], "left_anti"), lines, similarity, set_of, keep), "links")
+    # Links between whole classes join them; the first run's classes needn't be run again.
+    merged = extra.join(classes.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(classes.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    merged = keep(merged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "merged")
+    roots = keep.own(connected_components(merged, "a", "b"))
+    nodes = classes.unionByName(roots.select("node", F.col("node").alias("root")).join(classes.select("node"), "node", "left_anti"))
+    out = nodes.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    out = materialize(out, "classes")
+    keep.clear()
+    return out
+
+
+def _heads(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """``(lid, proof, head)``: where the line stands that stays for each line that has a copy or a link."""
+    table = LineTable(docs, id_col, text_col)
+    classes = links(table.lines, similarity)
+    named = table.lines.select("lid", "proof", "first", "n").join(classes.withColumnRenamed("node", "lid"), "lid", "left")
+    affected = materialize(named.where("root is not null or n > 1").select("lid", "proof", "first", F.coalesce("root", "lid").alias("root")), "affected")
+    heads = materialize(affected.groupBy("root").agg(F.min("first").alias("head")), "heads")
+    decided = affected.join(heads, "root").select("lid", "proof", "head")
+    if table.clashes.limit(1).count():
+        # Different lines of one name are linked to equal ones only.
+        own = _named(lines_of(docs, id_col, text_col)).join(table.clashes, "lid", "left_semi")
+        decided = decided.unionByName(own.groupBy("lid", "proof").agg(F.min("at").alias("head")))
+    decided = materialize(decided, "decided")
+    discard(classes, affected, heads)
+    table.drop()
+    return decided
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """``(at, head)`` of every line of every row; the line stays if both are the same."""
+    heads = _heads(docs, id_col, text_col, similarity)
+    return _named(lines_of(docs, id_col, text_col)).join(heads, ["lid", "proof"], "left").select("at", F.coalesce("head", "at").alias("head"))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, line_no, first_doc, first_line, kept)`` for every line of every row of ``docs``.
 
     ``first_doc`` and ``first_line`` name the earliest line of its class, the
-    one that stays.  Blank lines are classes of their own and
-    stay, so a null or empty text keeps its one empty line; lines too short for
-    a shingle are linked to equal ones only.  Rows that agree in id and text are one document, whose lines stay
-    or go on all of them; rows without an id sort before all others.
+    one that stays.  Blank lines are classes of their own and stay, so a null
+    or empty text keeps its one empty line; lines too short for a shingle are
+    linked to equal ones only.  Lines of any length and texts of any number of
+    lines are read whole.  Rows that agree in id and text are one document,
+    whose lines stay or go on all of them; rows without an id sort before all
+    others.  An empty table has no lines; other columns are ignored.
     """
-    lines = distinct_lines(docs, id_col, text_col)
-    classes = links(lines, similarity)
-    named = lines.select("lid", "first", "n").join(classes.withColumnRenamed("node", "lid"), "lid", "left").select("lid", "first", "n", F.coalesce("root", "lid").alias("root"), F.col("root").isNotNull().alias("linked"))
-    affected = materialize(named.where("linked or n > 1"), "affected")
-    heads = affected.groupBy("root").agg(F.min("first").alias("head"))
-    decided = materialize(affected.join(heads, "root").select("lid", "head"), "decided")
-    every = lines_of(docs, id_col, text_col).select("doc_id", "line_no", F.xxhash64("norm").alias("lid"), F.col("norm").isNotNull().alias("counts"))
-    alone = every.where(~F.col("counts")).select("doc_id", "line_no", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.lit(True).alias("kept"))
-    met = every.where("counts").join(decided, "lid", "left")
-    head = F.coalesce("head", F.struct("doc_id", "line_no"))
-    judged = met.select("doc_id", "line_no", head["doc_id"].alias("first_doc"), head["line_no"].alias("first_line"))
-    judged = judged.withColumn("kept", F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_line") == F.col("line_no")))
-    return judged.unionByName(alone)
+    judged = _judged(docs, id_col, text_col, similarity)
+    return judged.select("at.doc_id", "at.line_no", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"), F.col("head").eqNullSafe(F.col("at")).alias("kept"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the lines that ``line_classes`` keeps, in order and with their own spelling.
 
-    Documents of which no line but blank ones is left go; those without a duplicate line are
-    untouched.  Rows without an id can't be named, so they stay as they are.
-    ``n_chars``, where ``docs`` has it, follows the text.
+    Documents of which no line but blank ones is left go; those without a
+    duplicate line are untouched.  Rows that share an id but not the text lose
+    their own lines only.  Rows without an id can't be named, so they stay as
+    they are.  ``n_chars``, where ``docs`` has it, follows the text; columns of
+    any other name pass through.  An empty table stays empty.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    gone = line_classes(named, id_col, text_col, similarity).where(~F.col("kept")).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    gone = materialize(gone, "gone")
-    left = F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
+    gone = _judged(named, id_col, text_col, similarity).where(~F.col("head").eqNullSafe(F.col("at")))
+    gone = materialize(gone.groupBy(F.col("at.doc_id").alias("id"), F.col("at.copy").alias("copy")).agg(F.collect_set("at.line_no").alias("lines")), "gone")
+    rows = named.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("copy"), F.struct(*docs.columns).alias("row"))
     # What goes has no bound on its size, so it is never broadcast.
-    changed = named.join(gone.hint("merge"), named[id_col] == gone["__id"], "left").withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    changed = changed.where(F.col("__left").isNull() | F.exists("__left", lambda x: F.length(F.trim(x, F.lit(" \t\r"))) >= LEAST_CHARS))
-    text = F.when(F.col("__left").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
-    columns = [text.alias(c) if c == text_col else F.when(F.col("__left").isNull(), F.col(c)).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return changed.select(*columns).unionByName(docs.where(F.col(id_col).isNull()))
+    met = rows.join(gone.hint("merge"), ["id", "copy"], "left")
+    own = F.col("row")[text_col]
+    left = F.filter(F.transform(F.split(own, "\n", -1), lambda x, i: F.when(~F.array_contains("lines", i), x)), lambda x: x.isNotNull())
+    met = met.select("row", F.when(F.col("lines").isNotNull(), left).alias("left"))
+    met = met.where(F.col("left").isNull() | F.exists("left", lambda x: F.length(F.trim(x, F.lit(_BLANK))) > 0))
+    text = F.when(F.col("left").isNull(), own).otherwise(F.array_join("left", "\n"))
+    changed = {text_col: text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("left").isNull(), F.col("row")["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return met.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from millrace.llm import ann, graph, html_extract, registry, warc
-from millrace.llm.common import chi2_cdf, chi2_quantile, materialize
+from millrace.llm.common import chi2_cdf, chi2_quantile
+from millrace.sources.storage import materialize
 
 SMALL = "/root/testdata/sf0.001"
 

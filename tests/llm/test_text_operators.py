@@ -79,6 +79,23 @@ def test_near_pairs_are_all_pairs(spark, monkeypatch, long_list):
     assert got == {frozenset((a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
 
 
+def test_the_tally_is_that_of_shared_groups(spark):
+    luck = random.Random(9)
+    prints = [luck.getrandbits(64) for _ in range(6)]
+    # The first bytes of each print with some other bytes, so that pairs agree in any number of positions.
+    prints += [sum((luck.choice([p, luck.getrandbits(64)]) >> 8 * i & 255) << 8 * i for i in range(8)) for p in prints for _ in range(12)] + [p ^ 1 << luck.randrange(64) for p in prints]
+    signed = [p - (1 << 64) if p >> 63 else p for p in set(prints)]
+    agree = lambda a, b: [i for i in range(8) if (a ^ b) >> 8 * i & 255 == 0]
+    shared = {(a, b): sum(set(g) <= set(agree(a, b)) for g in simhash.GROUPS) for a in signed for b in signed if a < b}
+    frame = spark.createDataFrame([(p,) for p in signed], "fp bigint")
+    keep = simhash.Scratch()
+    assert {(r["fp_a"], r["fp_b"]): r["tally"] for r in simhash.tallied_pairs(frame, keep).collect()} == {k: n for k, n in shared.items() if n}
+    keep.clear()
+    assert {n for n in shared.values()} >= {0, 1, 3, 7} and all((n >= 3) == (len(agree(*k)) >= 6) for k, n in shared.items())
+    # A lower minimum gives more candidates and the same links.
+    assert sorted(simhash.near_pairs(frame).collect()) == sorted(simhash.near_pairs(frame, least=1).collect())
+
+
 def test_one_document_of_a_group_stays(spark):
     docs = corpus(spark, ["a b c d", "A b c d", "e f g h", None, ""]).unionByName(corpus(spark, ["a b c d"])).unionByName(corpus(spark, ["q"]).withColumn("doc_id", F.lit(None).cast("bigint")))
     kept = simhash.simhash_near_dedup(docs)
@@ -281,11 +298,11 @@ def test_encoding_equals_the_library_and_decodes_back(spark):
 
 
 def slow_line_classes(lines):
-    """Components of lines of enough characters by exact similarity of all pairs."""
+    """Components of all lines but blank ones by exact similarity of all pairs."""
     norm = {}
     for at, line in lines:
         n = line.strip(" \t\r").lower()
-        if len(n) >= line_dedup.LEAST_CHARS:
+        if n:
             norm.setdefault(n, at)
     names = list(norm)
     sets = [{n[i : i + 6] for i in range(len(n) - 5)} for n in names]
@@ -325,6 +342,29 @@ def test_lines_are_classed_as_by_all_pairs(spark):
         assert got[at] == (head, head == at)
 
 
+def test_lines_of_few_distinct_shingles_meet(spark):
+    pairs = [("ha ho " * 40, "ha ho " * 260), ("-" * 30, "-" * 45), ("short line", "Short line "), ("abcdefg", "abcdefg"), ("=-" * 9, "=-" * 500)]
+    rows = line_dedup.line_classes(corpus(spark, [a for a, _ in pairs] + [b for _, b in pairs])).collect()
+    assert {r["doc_id"]: r["first_doc"] for r in rows} == {i: i % 5 for i in range(10)}
+
+
+def test_different_lines_of_one_name_are_linked_to_equal_ones(spark, monkeypatch):
+    original = line_dedup._named
+    monkeypatch.setattr(line_dedup, "_named", lambda lines, *more: original(lines, *more).withColumn("lid", F.when(F.col("lid") % 2 == 0, F.lit(4)).otherwise(F.col("lid"))))
+    texts = [f"line number {i % 30} of {'abcdefghij'[i % 10] * 9}" for i in range(60)]
+    rows = line_dedup.line_classes(corpus(spark, texts)).collect()
+    assert {r["doc_id"]: r["first_doc"] for r in rows} == {i: i % 30 for i in range(60)}
+
+
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    a, b, c = "the first long line of all documents", "another line that is long enough too", "a third one that nothing else has"
+    docs = corpus(spark, [f"{a}\n{a}"]).unionByName(corpus(spark, [f"{b}\n{c}"])).withColumn("__id", F.lit(1)).withColumn("__gone", F.lit(1)).withColumn("left", F.lit(2)).withColumn("lines", F.lit("x")).withColumn("row", F.lit(3))
+    out = line_dedup.drop_lines(docs)
+    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted([a, f"{b}\n{c}"])
+    assert line_dedup.line_classes(docs.limit(0)).count() == 0 and line_dedup.drop_lines(docs.limit(0)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("millrace_lines")]
+
+
 def test_documents_lose_lines_and_empty_ones_go(spark):
     a, b = "the first long line of all documents", "another line that is long enough too"
     docs = corpus(spark, [f"{a}\nok\n{b}", f"{a.upper()}", f"new words stand here in this place\n{b}", None, ""])
