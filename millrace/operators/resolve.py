@@ -51,8 +51,9 @@ def misses(lookups: DataFrame) -> DataFrame:
 
 
 def absent(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` without a live value."""
-    return keys.join(live(log).select("k"), "k", "left_anti")
+    """The rows of ``keys`` without a live value; only the writes of these keys are resolved."""
+    asked = log.select("k", "seq", "op").join(keys.select("k").distinct(), "k", "left_semi")
+    return keys.join(newest(asked).where(F.col("op") == PUT).select("k"), "k", "left_anti")
 
 
 def semi_filter(log: DataFrame, keys: DataFrame) -> DataFrame:
@@ -76,7 +77,12 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
     union = tagged[0]
     for r in tagged[1:]:
         union = union.unionByName(r)
-    return positioned(union, ["k", "run", "seq"]).select("pos", "k", "run", "seq", "op", "v")
+    return merge_run_rows(union)
+
+
+def merge_run_rows(rows: DataFrame) -> DataFrame:
+    """As ``merge_runs``, of rows that carry their ``run``."""
+    return positioned(rows, ["k", "run", "seq"]).select("pos", "k", "run", "seq", "op", "v")
 
 
 def compacted(log: DataFrame, keep_tombstones: bool = False) -> DataFrame:

@@ -28,38 +28,40 @@ def shard_count(wanted: int = 16) -> int:
 
 
 def blocks(log: DataFrame, shard: Column, rows: int) -> DataFrame:
-    """The log with ``shard`` and ``block``, both counted from 0."""
+    """The log with ``shard`` and ``block``, both counted from 0.  Select what is needed first: all columns are sorted along."""
     placed = positioned(log.withColumn("shard", shard), ["seq"], ["shard"], "__place")
     return placed.withColumn("block", F.floor((F.col("__place") - 1) / rows).cast("bigint")).drop("__place")
 
 
-def block_sizes(blocked: DataFrame) -> DataFrame:
-    return blocked.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("rows"))
+def shard_sizes(log: DataFrame, shard: Column) -> DataFrame:
+    return log.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("records"))
 
 
-def states(blocked: DataFrame, rows: int, drained: bool = False) -> DataFrame:
+def states(log: DataFrame, shard: Column, rows: int, drained: bool = False) -> DataFrame:
     """One row of counters: the writes in open blocks, and the blocks and writes that are sealed or sorted.
 
     Undrained, full blocks wait sealed to be sorted; drained, every block,
-    open ones too, has become a sorted run.
+    open ones too, has become a sorted run.  Blocks fill in order, so how many
+    there are follows from the shards' numbers of writes alone.
     """
-    full = F.col("rows") >= rows
-    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("rows"))), F.lit(0)).cast("bigint")
+    n = F.col("records")
+    full, open_rows = F.floor(n / rows), n % rows
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     none = F.lit(0).cast("bigint")
-    some = F.col("rows") > 0
-    return block_sizes(blocked).agg(
-        (none if drained else count(~full)).alias("active_records"),
-        (none if drained else F.count_if(full)).alias("sealed_blocks"),
-        (none if drained else count(full)).alias("sealed_records"),
-        (F.count_if(some) if drained else none).alias("sorted_blocks"),
-        (count(some) if drained else none).alias("sorted_records"),
+    return shard_sizes(log, shard).agg(
+        (none if drained else total(open_rows)).alias("active_records"),
+        (none if drained else total(full)).alias("sealed_blocks"),
+        (none if drained else total(full * rows)).alias("sealed_records"),
+        (total(full + (open_rows > 0).cast("int")) if drained else none).alias("sorted_blocks"),
+        (total(n) if drained else none).alias("sorted_records"),
     )
 
 
-def backlog(blocked: DataFrame, rows: int, at_most: int) -> DataFrame:
+def backlog(log: DataFrame, shard: Column, rows: int, at_most: int) -> DataFrame:
     """One row: sealed blocks, those over the limit, and whether a writer has to wait."""
-    sealed = F.count_if(F.col("rows") >= rows)
-    return block_sizes(blocked).agg(sealed.alias("pending"), F.greatest(sealed - at_most, F.lit(0)).cast("bigint").alias("excess"), (sealed > at_most).alias("blocked"))
+    sealed = F.coalesce(F.sum(F.floor(F.col("records") / rows)), F.lit(0)).cast("bigint")
+    counted = shard_sizes(log, shard).agg(sealed.alias("pending"))
+    return counted.select("pending", F.greatest(F.col("pending") - at_most, F.lit(0)).cast("bigint").alias("excess"), (F.col("pending") > at_most).alias("blocked"))
 
 
 def zone_map(blocked: DataFrame) -> DataFrame:
@@ -69,14 +71,10 @@ def zone_map(blocked: DataFrame) -> DataFrame:
 
 def sparse_index(log: DataFrame, shard: Column, every: int = 16) -> DataFrame:
     """``(shard, position, k)``: every ``every``-th write of a shard in key order, from the first."""
-    placed = positioned(log.withColumn("shard", shard), ["k", "seq"], ["shard"], "__place")
+    placed = positioned(log.select("k", "seq", shard.alias("shard")), ["k", "seq"], ["shard"], "__place")
     return placed.where((F.col("__place") - 1) % every == 0).select("shard", (F.col("__place") - 1).alias("position"), "k")
 
 
-def shard_sizes(log: DataFrame, shard: Column) -> DataFrame:
-    return log.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("records"))
-
-
 def compact_shards(log: DataFrame, shard: Column) -> DataFrame:
     """Per shard: writes before a full compaction, keys, and rows after it."""
     before = shard_sizes(log, shard)

@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import bloom
 from millrace.functions.records import key_prefix, shard_of
 from millrace.operators import resolve, stats
 from millrace.plans import layout
+from millrace.plans.table import MutationTable
 from millrace.sources.log import appended, fitting, log_from
+from millrace.sources.storage import RunStore, scratch_path
 from millrace.streaming import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS, BLOCK_ROWS, BACKLOG, SNAPSHOT = 16, 64, 16, 5_000
+BLOOM_BITS, BLOOM_KEYS = 1 << 16, 8_000
 
 #: SQL of the logs, and of the newest write of each key in them.
 _LOGS = {
@@ -239,7 +243,11 @@ _SIZES = f"(select shard, block, count(*) as rows from ({_BLOCKS}) group by all)
 
 
 def _blocked(spark, sf_dir):
-    return layout.blocks(events_log(spark, sf_dir), shard_of(F.col("k"), SHARDS), BLOCK_ROWS)
+    return layout.blocks(events_log(spark, sf_dir).select("k", "seq"), shard_of(F.col("k"), SHARDS), BLOCK_ROWS)
+
+
+def _sharded(spark, sf_dir):
+    return events_log(spark, sf_dir), shard_of(F.col("k"), SHARDS), BLOCK_ROWS
 
 
 @query(_with("ev") + f"select k % {SHARDS} as shard, count(*) as records from ev group by 1")
@@ -257,7 +265,7 @@ def block_assignment(spark, sf_dir):
     f" cast(coalesce(sum(rows) filter (where rows >= {BLOCK_ROWS}), 0) as bigint) as sealed_records, cast(0 as bigint) as sorted_blocks, cast(0 as bigint) as sorted_records from {_SIZES}"
 )
 def block_states(spark, sf_dir):
-    return layout.states(_blocked(spark, sf_dir), BLOCK_ROWS)
+    return layout.states(*_sharded(spark, sf_dir))
 
 
 @query(
@@ -265,14 +273,14 @@ def block_states(spark, sf_dir):
     f" count(*) as sorted_blocks, cast(coalesce(sum(rows), 0) as bigint) as sorted_records from {_SIZES}"
 )
 def block_states_drained(spark, sf_dir):
-    return layout.states(_blocked(spark, sf_dir), BLOCK_ROWS, drained=True)
+    return layout.states(*_sharded(spark, sf_dir), drained=True)
 
 
 @query(
     _with("ev") + f"select pending, greatest(pending - {BACKLOG}, 0) as excess, pending > {BACKLOG} as blocked from (select count(*) filter (where rows >= {BLOCK_ROWS}) as pending from {_SIZES})"
 )
 def backlog(spark, sf_dir):
-    return layout.backlog(_blocked(spark, sf_dir), BLOCK_ROWS, BACKLOG)
+    return layout.backlog(*_sharded(spark, sf_dir), BACKLOG)
 
 
 @query(_with("ev") + f"select shard, block, min(k) as min_key, max(k) as max_key, count(*) as rows from ({_BLOCKS}) group by all")
@@ -334,7 +342,76 @@ def instance_isolation(spark, sf_dir):
 
 @query()
 def storage_stats(spark, sf_dir):
-    return stats.storage_stats(events_log(spark, sf_dir))
+    return stats.storage_stats(_read(spark, sf_dir, "events"))
+
+
+@query(
+    _with("ev") + "select count(*) as records, count(*) filter (where op = 'D') as tombstones, cast(coalesce(sum(octet_length(encode(cast(k as varchar)))), 0) as bigint) as key_bytes,"
+    " cast(coalesce(sum(octet_length(encode(v))), 0) as bigint) as value_bytes from ev"
+)
+def logical_size(spark, sf_dir):
+    return stats.logical_size(events_log(spark, sf_dir))
+
+
+@query("select count(*) as members, cast(0 as bigint) as rejected from (select distinct user_id from events)")
+def bloom_membership(spark, sf_dir):
+    """A filter of the log's keys rejects none of them."""
+    keys = events_log(spark, sf_dir).select("k").distinct()
+    hashes = bloom.hash_count(BLOOM_BITS, BLOOM_KEYS)
+    probed = bloom.may_contain(keys, bloom.build(keys, BLOOM_BITS, hashes), BLOOM_BITS, hashes)
+    return probed.agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("may")).alias("rejected"))
+
+
+# Stored runs
+
+
+def _store(spark) -> RunStore:
+    return RunStore(spark, scratch_path(spark, "store"))
+
+
+@query(_with("ev") + "select row_number() over (order by k, seq % 4, seq) as pos, k, seq % 4 as run, seq, op, v from ev")
+def merge_stored_runs(spark, sf_dir):
+    """The log written in four sorted runs and merged from storage."""
+    store = _store(spark)
+    store.write_many(events_log(spark, sf_dir), F.col("seq") % 4, 4)
+    return resolve.merge_run_rows(store.read())
+
+
+@query(_with(was=f"select * from ({_LOGS['ev']}) where seq <= {SNAPSHOT}") + "select k, seq, v from was_new where op = 'P'")
+def snapshot_stored_runs(spark, sf_dir):
+    """A snapshot of the log as it lies in stored runs."""
+    store = _store(spark)
+    store.write_many(events_log(spark, sf_dir), F.col("seq") % 4, 4)
+    return resolve.live(resolve.as_of(store.read(), SNAPSHOT))
+
+
+@query(_one_sql("7"))
+def get_from_blocks(spark, sf_dir):
+    """A point read of sorted files by (shard, block): one shard's folders are opened, and of their row groups those that may hold the key."""
+    log = events_log(spark, sf_dir)
+    path = _store(spark).write_blocks(layout.blocks(log, shard_of(F.col("k"), SHARDS), BLOCK_ROWS))
+    key = F.lit(7).cast("bigint")
+    blocks = spark.read.parquet(path).where((F.col("shard") == 7 % SHARDS) & (F.col("k") == key))
+    return resolve.multi_get(blocks, spark.range(1).select(F.lit(0).cast("bigint").alias("pos"), key.alias("k")))
+
+
+@query(_with("ev") + f"select shard, block, min(k) as min_key, max(k) as max_key, count(*) as rows from ({_BLOCKS}) group by all")
+def stored_block_min_max(spark, sf_dir):
+    """The zone map as read back from the sorted files of the blocks."""
+    path = _store(spark).write_blocks(layout.blocks(events_log(spark, sf_dir), shard_of(F.col("k"), SHARDS), BLOCK_ROWS))
+    blocks = spark.read.parquet(path)
+    return layout.zone_map(blocks.select("k", F.col("shard").cast("bigint").alias("shard"), F.col("block").cast("bigint").alias("block")))
+
+
+@query(_with("ev") + "select k, seq, v from ev_new where op = 'P'")
+def table_lifecycle(spark, sf_dir):
+    """The log put through the table: two framed batches, sorted where the table is waited for, compacted and scanned."""
+    log = events_log(spark, sf_dir)
+    table = MutationTable.create(spark, key_type="bigint", value_type="string", async_background_processing=False, batch_worker_count=4, enable_compaction=True)
+    for part in range(2):
+        table.apply(log.where(F.col("seq") % 2 == part))
+    table.wait_for_background_work()
+    return resolve.live(table.log())
 
 
 # Streaming

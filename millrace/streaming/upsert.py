@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from millrace.sources.log import PUT
+from millrace.operators.resolve import compacted, live
 from millrace.sources.storage import RunStore, scratch_path
 
 
@@ -25,33 +27,43 @@ def read_stream(spark: SparkSession, folder: str, files: str, schema: StructType
     return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+#: Runs that a view is read from before they are merged.
+MAX_RUNS = 8
+
+
 def run_upsert(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Maintain the newest writes under ``target``: each batch replaces the view of the batch before.
+    """Maintain the newest writes in runs under ``target``: each batch adds the keys that it changed.
 
-    A batch is written to a folder named by its number, so one that is
-    repeated after a failure overwrites its own attempt and nothing else.
+    A batch's run is named by the batch's number, so one that is repeated after
+    a failure changes nothing.  Over ``MAX_RUNS`` runs are merged into one,
+    which keeps tombstones and the names of the batches that it holds.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number:010d}")
+        store = RunStore(batch.sparkSession, target)
+        held = store.runs()
+        # Batches come in order, so those up to the newest one named are in.
+        if any(int(n.rsplit("-", 1)[1]) >= number for n in held):
+            return
+        store.add(batch, name=f"run-batch-{number:010d}")
+        names = store.runs()
+        if len(names) > MAX_RUNS:
+            merged = store.write(compacted(store.read(names), keep_tombstones=True), name=f"run-merged-{uuid.uuid4().hex}-{number:010d}")
+            store.replace(names, merged)
 
     return newest_by_key(log).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upserted(spark: SparkSession, target: str) -> DataFrame:
     """``(k, seq, v)``: the live view from all updates, of which the newest counts."""
-    return newest_by_key(spark.read.parquet(target)).where(F.col("op") == PUT).select("k", "seq", "v")
+    return live(RunStore(spark, target).read())
 
 
 def run_store_writer(log: DataFrame, store_root: str, checkpoint: str) -> StreamingQuery:
-    """Append every batch of a log as a sorted run of its own.
-
-    A batch that is repeated after a failure may leave a second run with the
-    same writes, which changes no result.
-    """
+    """Append every batch of a log as a sorted run of its own, named by the batch's number and so added once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        RunStore(batch.sparkSession, store_root).add(batch)
+        RunStore(batch.sparkSession, store_root).add(batch, name=f"run-batch-{number:010d}")
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

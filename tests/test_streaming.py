@@ -32,3 +32,21 @@ def test_batches_become_runs(spark, tmp_path):
     upsert.run_store_writer(stream, "file://" + root, cp).awaitTermination()
     store = RunStore(spark, "file://" + root)
     assert len(store.runs()) == 2 and live(resolve.live(store.read())) == [(2, 3, "y")]
+
+
+def test_many_batches_are_merged_and_counted_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upsert, "MAX_RUNS", 2)
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    rows = []
+    for i in range(6):
+        part = [(i % 3, i, "D" if i == 4 else "P", None if i == 4 else f"v{i}")]
+        rows += part
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    stream = upsert.read_stream(spark, src, "*.parquet", spark.createDataFrame([], SCHEMA).schema)
+    upsert.run_upsert(stream, out, cp).awaitTermination()
+    store = RunStore(spark, out)
+    assert len(store.runs()) <= 2 and live(upsert.upserted(spark, out)) == [(0, 3, "v3"), (2, 5, "v5")]
+    # A batch that comes again is in already.
+    before = store.runs()
+    store.add(spark.createDataFrame(rows, SCHEMA), name=before[-1])
+    assert store.runs() == before
