@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import text_or_empty
 from millrace.llm.graph import connected_components
-from millrace.sources.storage import Scratch, discard, materialize, remove, scratch_path
+from millrace.sources.storage import Scratch, discard, materialize, release, remove, scratch_path
 
 #: Characters of a shingle, least similarity, bands of a signature and bins of a band.
 SHINGLE, SIMILARITY = 6, 0.8
 BANDS, ROWS = 10, 5
 #: Longs of a sketch; members of a bucket that meet one copy of what they are held against.
-WORDS, SLICE = 4, 512
+WORDS, SLICE = 16, 256
 _BLANK = " \t\r"
 
 
@@ -75,6 +75,7 @@ class LineTable:
         self.name = "millrace_lines_" + self.path.rsplit("-", 1)[1]
         width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         grouped.write.format("parquet").option("path", self.path).option("compression", "zstd").bucketBy(width, "lid").saveAsTable(self.name)
+        release(self.spark)
         self.lines = self.spark.table(self.name).where("proof = last")
         self.clashes = self.spark.table(self.name).where("proof <> last").select("lid")
 
@@ -85,8 +86,9 @@ class LineTable:
 
 def shingles_of(lines: DataFrame) -> DataFrame:
     """``(lid, s)``: the hash of every shingle of every line, repeats included."""
-    n = F.length("line") - SHINGLE + 1
-    placed = lines.where(n > 0).select("lid", _wide(F.col("line")).alias("wide"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    # Encoded below the explosion, once a line; in one step with it Spark would encode the line for each place.
+    whole = lines.where(F.length("line") >= SHINGLE).select("lid", _wide(F.col("line")).alias("wide"), (F.length("line") - SHINGLE).alias("last"))
+    placed = whole.select("lid", "wide", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
     return placed.select("lid", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * SHINGLE))).alias("s"))
 
 
@@ -126,55 +128,58 @@ def jaccard(a: Column, b: Column) -> Column:
     return _let(sets, lambda s: _let(both(s), lambda k: k / (F.size(s["a"]) + F.size(s["b"]) - k)))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float, set_of: Callable[[Column], Column], keep: Scratch) -> DataFrame:
-    """Of the pairs ``(a, b, slice)`` those whose lines' shingle sets are similar enough.
-
-    One ``a`` may be in any number of pairs; each slice of them meets a copy of
-    its set, so no task gathers all of them.
-    """
-    wanted = keep(pairs.groupBy("a", "b").agg(F.min("slice").alias("slice")), "pairs")
-    heads = lines.select(F.col("lid").alias("a"), "line").join(wanted.select("a", "slice").distinct(), "a").select("a", "slice", set_of(F.col("line")).alias("set_a"))
-    met = wanted.join(lines.select(F.col("lid").alias("b"), "line"), "b").join(keep(heads, "heads"), ["a", "slice"])
-    return met.where(jaccard(F.col("set_a"), set_of(F.col("line"))) >= similarity).select("a", "b")
-
-
 def sketches(shingles: DataFrame) -> DataFrame:
-    """``(lid, size, w0 .. w3)``: the number of each line's distinct shingles and, in 256 bits, which bits an odd number of them fall on.
+    """``(lid, size, sketch)``: the number of each line's shingles and, in 1024 bits, which bits they fall on.
 
     The sketches of two sets differ in no more bits than the sets differ in
-    shingles, so they bound the similarity from above.  ``shingles`` is
-    ``(lid, s)``, dealt by ``lid``.
+    shingles, so they bound the similarity from above.
     """
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 32) & 63 as int))")
     word = F.shiftrightunsigned("s", 38).bitwiseAND(F.lit(WORDS - 1))
-    words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS)]
-    return shingles.groupBy("lid", "s").agg(F.lit(1)).groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
+    words = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS)]
+    drawn = shingles.groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
+    return drawn.select("lid", F.struct("size", *(f"w{k}" for k in range(WORDS))).alias("sketch"))
+
+
+def _may_be_similar(a: Column, b: Column, similarity: float) -> Column:
+    """False only if two sketches prove that the sets aren't similar: those that are differ in a bounded share of their shingles."""
+    differ = sum((F.bit_count(a[f"w{k}"].bitwiseXOR(b[f"w{k}"])) for k in range(WORDS)), F.lit(0))
+    return differ <= (a["size"] + b["size"]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float, set_of: Callable[[Column], Column], keep: Scratch) -> DataFrame:
+    """Of the pairs ``(a, b, slice)`` those whose lines' shingle sets are similar enough.
+
+    One ``a`` may be in any number of pairs; each slice of them, ``SLICE`` or
+    about so many, meets a copy of its line, whose set is built once for them.
+    """
+    wanted = keep(pairs.groupBy("a", "b").agg(F.min("slice").alias("slice")), "pairs")
+    members = wanted.join(lines.select(F.col("lid").alias("b"), "line"), "b").groupBy("a", "slice").agg(F.collect_list(F.struct("b", "line")).alias("members"))
+    met = members.join(lines.select(F.col("lid").alias("a"), "line"), "a")
+    similar = _let(
+        F.struct(set_of(F.col("line")).alias("set"), "members"), lambda x: F.transform(F.filter(x["members"], lambda m: jaccard(x["set"], set_of(m["line"])) >= similarity), lambda m: m["b"])
+    )
+    return met.select("a", F.explode(similar).alias("b"))
 
 
-def unsettled(known: DataFrame, lines: DataFrame, similarity: float, shingles: Callable[[DataFrame], DataFrame], keep: Scratch) -> DataFrame:
-    """Pairs ``(a, b, slice)`` of a bucket and different classes that may be similar; ``known`` has ``(bucket, lid, root)``.
+def unsettled(known: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
+    """Pairs ``(a, b, slice)`` of a bucket and different classes that may be similar; ``known`` has ``(bucket, lid, sketch, root)``.
 
     Whatever is outside a bucket's largest class meets all other classes.  Only
-    pairs go of which the sizes or the sketches prove that they aren't similar.
-    Buckets with many lines outside are dealt over slices, and what these
-    lines meet is repeated for each slice.
+    pairs go of which the sketches prove that they aren't similar.  Buckets
+    with many lines outside are dealt over slices, and what these lines meet is
+    repeated for each slice.
     """
     sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
     main = main.select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / SLICE).cast("int").alias("slices"))
     apart = keep(known.join(keep(main, "main"), "bucket"), "apart")
-    drawn = sketches(shingles(lines.join(apart.select("lid").distinct(), "lid", "left_semi").repartition("lid")))
-    # Similar sets' sizes differ by the similarity at most, so by one step at most.
-    apart = keep(apart.join(drawn, "lid").withColumn("step", F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")), "drawn")
-    words = [f"w{k}" for k in range(WORDS)]
-    odd = apart.where("root <> main").select("bucket", "lid", "root", "size", *words, F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))).alias("step"), F.pmod(F.xxhash64("lid"), F.col("slices")).cast("int").alias("slice"))
-    rest = apart.select("bucket", "step", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("lid").alias("lid_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("in_main"), F.col("size").alias("size_b"), *(F.col(w).alias(w + "_b") for w in words))
-    both = F.col("size") + F.col("size_b")
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(w + "_b"))) for w in words), F.lit(0))
-    may = differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6
+    odd = apart.where("root <> main").select("bucket", "lid", "root", "sketch", F.pmod(F.xxhash64("lid"), F.col("slices")).cast("int").alias("slice"))
+    rest = apart.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("lid").alias("lid_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("in_main"), F.col("sketch").alias("sketch_b"))
     # Two lines outside the largest class meet from both sides; one is enough.
-    on = [odd[c] == rest[c] for c in ("bucket", "step", "slice")] + [F.col("root") != F.col("root_b"), F.col("in_main") | (F.col("lid") < F.col("lid_b")), may]
-    return odd.join(rest, on).select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b"), odd["slice"])
+    on = [odd[c] == rest[c] for c in ("bucket", "slice")] + [F.col("root") != F.col("root_b"), F.col("in_main") | (F.col("lid") < F.col("lid_b"))]
+    met = odd.join(rest, [*on, _may_be_similar(F.col("sketch"), F.col("sketch_b"), similarity)])
+    return met.select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b"), odd["slice"])
 
 
 def links(
@@ -191,22 +196,28 @@ def links(
     compared further.  All of these are, so no link between two classes of a
     bucket is lost.  Other things than lines come with ``(lid, bucket)`` of
     their own, what makes a set of shingle hashes of their ``line`` and what
-    makes rows of them.
+    makes rows of them.  The result is materialized.
     """
     keep = Scratch()
     # One exchange by bucket serves the count and the join; buckets of one line end there.
     dealt = (bands(lines) if buckets is None else buckets).select("bucket", "lid").repartition("bucket")
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("lead")).where("n > 1")
     members = keep(dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "lid", "n", "lead"), "buckets")
-    slices = F.ceil(F.col("n") / SLICE)
-    stars = members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b"), F.pmod(F.xxhash64("lid"), slices).cast("int").alias("slice"))
-    found = keep(verified(stars, lines, similarity, set_of, keep), "links")
+    release(lines.sparkSession)
+    drawn = keep(sketches(shingles(lines.join(members.select("lid").distinct(), "lid", "left_semi"))), "sketches")
+    slice_of = F.pmod(F.xxhash64("lid"), F.ceil(F.col("n") / SLICE)).cast("int")
+    tried = members.where("lid <> lead").groupBy(F.col("lead").alias("a"), F.col("lid").alias("b")).agg(F.min(slice_of).alias("slice"))
+    heads = drawn.select(F.col("lid").alias("a"), F.col("sketch").alias("sketch_a"))
+    # A lead's sketch is repeated for each slice of its pairs, as its set is later.
+    heads = keep(heads.join(tried.select("a", "slice").distinct(), "a"), "leads")
+    tried = keep(tried, "tried")
+    stars = tried.join(drawn.withColumnRenamed("lid", "b"), "b").join(heads, ["a", "slice"]).where(_may_be_similar(F.col("sketch_a"), F.col("sketch"), similarity))
+    found = keep(verified(stars.select("a", "b", "slice"), lines, similarity, set_of, keep), "links")
     classes = keep.own(connected_components(found, "a", "b"))
-    known = members.select("bucket", "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
-    more = unsettled(keep(known, "known"), lines, similarity, shingles, keep)
-    # A star's pair that failed needn't fail again.
-    tried = stars.select("a", "b").distinct()
-    extra = keep(verified(more.join(tried, ["a", "b"], "left_anti"), lines, similarity, set_of, keep), "links")
+    # All pairs with a bucket's first line are settled, so it is out.
+    known = members.where("lid <> lead and n > 2").select("bucket", "lid").join(drawn, "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left")
+    more = unsettled(keep(known.select("bucket", "lid", "sketch", F.coalesce("root", "lid").alias("root")), "known"), similarity, keep)
+    extra = keep(verified(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), lines, similarity, set_of, keep), "links")
     # Links between whole classes join them; the first run's classes needn't be run again.
     merged = extra.join(classes.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(classes.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     merged = keep(merged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "merged")
