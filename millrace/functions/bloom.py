@@ -17,8 +17,10 @@ def hash_count(bits: int, keys: int) -> int:
 def _places(key: Column, bits: int, hashes: int) -> Column:
     """The key's bits, by double hashing."""
     text = key.cast("string")
-    first, step = F.xxhash64(text), F.xxhash64(F.lit(1), text).bitwiseOR(F.lit(1))
-    return F.array(*(F.pmod(first + F.shiftleft(step, 1) * F.lit(i), F.lit(bits)) for i in range(hashes)))
+    # 40 bits of two hashes, whose sums can't overflow; an odd step misses no place of a power of two.
+    short = lambda h: F.shiftrightunsigned(h, 24)
+    first, step = short(F.xxhash64(text)), short(F.xxhash64(F.lit(1), text)).bitwiseOR(F.lit(1))
+    return F.array(*(F.pmod(first + step * i, F.lit(bits)) for i in range(hashes)))
 
 
 def build(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
