@@ -3,9 +3,10 @@
 Vectors are scaled to length one, where the largest cosine is the least
 Euclidean distance, and projected on a few Gaussian (2-stable) directions: the
 squared projected distance of two vectors is their squared distance times a
-chi-square variable.  The projected points are held in blocks by the leaves of
-a shallow kd-tree whose planes are fitted on a bounded sample; every block
-has a kd-tree of its own.  A query takes projected neighbours in order of
+chi-square variable.  The projected points are held in blocks by a kd-tree of
+two levels: planes fitted on a bounded sample, and in each of their leaves as
+many cuts, at quantiles over all its points, as its number of points wants;
+every block has a kd-tree of its own.  A query takes projected neighbours in order of
 distance and verifies each with the original vectors until the chi-square test
 says that a nearer one is still to come with a probability of under
 ``1 - CONFIDENCE``.  It does so first in its home block, then in the blocks
@@ -29,6 +30,10 @@ from millrace.sources.storage import materialize
 DIRECTIONS, CONFIDENCE, SAMPLE = 8, 0.99, 20_000
 #: Rows wanted in a block, leaves of the tree over all blocks at most, points of a leaf of a block's tree.
 BLOCK, LEAVES, POINTS = 4096, 1024, 256
+#: Cuts of a leaf into slabs, so that a query opens the slabs in its reach and not the whole leaf.
+SLABS = 64
+#: Lengths of vectors, the most frequent ones, that have planes; vectors of others are one leaf for each length.
+LENGTHS = 64
 
 
 def directions(dim: int, m: int = DIRECTIONS, seed: int = 42) -> np.ndarray:
@@ -41,8 +46,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest part near one: exact, and no square under- or overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(-1, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of ``a`` with each row of ``b``'s leading axis, on the original vectors in double precision."""
+    """Cosine of each row of ``a`` with the same row of ``b``, on the original vectors in double precision."""
+    a, b = _scaled(a), _scaled(b)
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
@@ -163,7 +174,9 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     a row of another length than most is compared with those of its length
     only.  Equal vectors are one point that knows its ``k + 1`` smallest ids,
     so copies in any number are searched once.  Repeated query rows count
-    once.  The planes are fitted on at most ``SAMPLE`` vectors.
+    once; other columns are ignored; without rows or queries there is no
+    result.  The planes are fitted on at most ``SAMPLE`` vectors, the cuts on
+    all.
     """
     spark = table.sparkSession
     rows = materialize(valid_vectors(table, id_col, vector_col), "vectors")
@@ -172,11 +185,11 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     smallest = rows.distinct().withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
     # A group is at most k + 1 rows here.
     points = materialize(smallest.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
-    wanted = materialize(asked.select("vec").distinct().withColumn("q", F.xxhash64("vec")), "wanted")
+    wanted = materialize(asked.select("vec").distinct().withColumn("q", F.monotonically_increasing_id()), "wanted")
 
     total = points.count()
     leaves = 1 << max(0, min(int(math.log2(LEAVES)), math.ceil(math.log2(max(1, total) / BLOCK))))
-    dims = [r["d"] for r in points.select(F.size("vec").alias("d")).distinct().limit(64).collect()]
+    dims = [r["d"] for r in points.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(LENGTHS).collect()]
     share = min(1.0, 2 * SAMPLE / max(1, total))
     sample = points.select("vec").sample(share, 11).limit(SAMPLE).toPandas()["vec"].tolist() if leaves > 1 else []
     plans = {}
@@ -201,15 +214,29 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     kind = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", leaf bigint, p array<double>"
     placed = points.mapInArrow(locate, kind(points))
     placed = materialize(placed.withColumn("d", F.size("vec")), "placed")
-    # Leaves by their number of rows: a leaf with many is dealt over several blocks by a hash.
+    # Leaves by their number of rows: one with many is cut into slabs along its longest side, at quantiles of all its points.
     spans = [F.struct(F.min(F.element_at("p", i + 1)).alias("low"), F.max(F.element_at("p", i + 1)).alias("high")) for i in range(m)]
-    boxes = placed.groupBy("d", "leaf").agg(F.count(F.lit(1)).alias("n"), F.array(*spans).alias("box")).withColumn("blocks", F.ceil(F.col("n") / (2 * BLOCK)).cast("int"))
+    side = F.array(*((F.max(F.element_at("p", i + 1)) - F.min(F.element_at("p", i + 1))) for i in range(m)))
+    leaf_sizes = placed.groupBy("d", "leaf").agg(F.count(F.lit(1)).alias("n"), F.array(*spans).alias("box"), side.alias("side"))
+    leaf_sizes = leaf_sizes.select("d", "leaf", "box", F.ceil(F.col("n") / (2 * BLOCK)).cast("int").alias("blocks"), F.array_position("side", F.array_max("side")).cast("int").alias("axis"))
     # At most LEAVES rows for each length of vectors.
-    boxes = materialize(boxes, "boxes")
-    tree = F.broadcast(boxes)
-    blocks = placed.join(tree.select("d", "leaf", "blocks"), ["d", "leaf"]).select("d", "leaf", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int").alias("block"), "vec", "ids")
+    leaf_sizes = materialize(leaf_sizes, "leaves")
+    tree = F.broadcast(leaf_sizes)
+    within = placed.join(F.broadcast(leaf_sizes.where("blocks > 1").select("d", "leaf", "axis")), ["d", "leaf"])
+    shares = F.percentile_approx(F.element_at("p", F.col("axis")), F.lit([k / SLABS for k in range(1, SLABS)]), 10_000)
+    cuts = materialize(within.groupBy("d", "leaf").agg(shares.alias("shares")), "cuts")
+    tree = F.broadcast(leaf_sizes.join(cuts, ["d", "leaf"], "left"))
+    # The block of a point: how many of its leaf's cuts it is beyond, as many as blocks are wanted up to SLABS, and a hash of it in leaves that want more.
+    beyond = F.size(F.filter("shares", lambda c: c < F.element_at("p", F.col("axis"))))
+    slab = F.when(F.col("blocks") > 1, F.floor(beyond * F.least("blocks", F.lit(SLABS)) / SLABS)).otherwise(F.lit(0)).cast("int")
+    parts = F.ceil(F.col("blocks") / SLABS).cast("int")
+    blocks = placed.join(tree, ["d", "leaf"]).select("d", "leaf", slab.alias("slab"), F.pmod(F.xxhash64("vec"), parts).cast("int").alias("block"), "vec", "ids", "p")
     blocks = materialize(blocks, "blocks")
-    homes = materialize(wanted.mapInArrow(lambda it: locate(it), kind(wanted)).withColumn("d", F.size("vec")), "homes")
+    # Boxes of the slabs, SLABS for each leaf at most, with the number of their blocks.
+    boxes = blocks.groupBy("d", "leaf", "slab").agg(F.array(*spans).alias("box"), (F.max("block") + 1).alias("parts"))
+    boxes = materialize(boxes, "boxes")
+    homes = wanted.mapInArrow(lambda it: locate(it), kind(wanted)).withColumn("d", F.size("vec"))
+    homes = materialize(homes.join(tree, ["d", "leaf"], "left").select("q", "vec", "p", "d", "leaf", slab.alias("slab")), "homes")
 
     def look(key, data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         columns = ["q", "vec_id", "score"]
@@ -223,26 +250,27 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             out += [(q, int(i), -s) for s, i in every]
         return pd.DataFrame(out, columns=columns).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["d", "leaf", "block"]
+    keys = ["d", "leaf", "slab", "block"]
     result = "q bigint, vec_id bigint, score double"
     data = blocks.groupBy(*keys)
-    deal = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    first = homes.join(tree.select("d", "leaf", "blocks"), ["d", "leaf"]).select("d", "leaf", deal, "q", "vec", F.lit(5.0).alias("reach"))
+    deal = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block")
+    slabs = F.broadcast(boxes)
+    first = homes.join(slabs.select("d", "leaf", "slab", "parts"), ["d", "leaf", "slab"]).select("d", "leaf", "slab", deal, "q", "vec", F.lit(5.0).alias("reach"))
     home = materialize(data.cogroup(first.groupBy(*keys)).applyInPandas(look, result), "home")
     limit = chi2_quantile(confidence, m)
     top = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     bound = home.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
     reach = F.when(F.col("n") > k, F.greatest(F.lit(0.0), 2 - 2 * F.col("worst")) + 1e-9).otherwise(F.lit(5.0))
-    known = homes.join(bound, "q", "left").select("q", "vec", "p", F.col("leaf").alias("home"), "d", reach.alias("reach"))
-    # A query meets the boxes of the tree, which are bounded in number, not the rows in them.
+    known = homes.join(bound, "q", "left").select("q", "vec", "p", F.struct("leaf", "slab").alias("home"), "d", reach.alias("reach"))
+    # A query meets the boxes of the tree, LEAVES times SLABS at most, not the rows in them.
     gap = F.aggregate(
         F.zip_with("p", "box", lambda x, s: F.greatest(F.lit(0.0), s["low"] - x, x - s["high"])), F.lit(0.0), lambda total, g: total + g * g
     )
-    away = known.join(tree, "d").where((F.col("leaf") != F.col("home")) & (gap <= limit * F.col("reach") + 1e-9))
-    others = away.select("d", "leaf", deal, "q", "vec", "reach")
+    away = known.join(slabs, "d").where((F.struct("leaf", "slab") != F.col("home")) & (gap <= limit * F.col("reach") + 1e-9))
+    others = away.select("d", "leaf", "slab", deal, "q", "vec", "reach")
     more = data.cogroup(others.groupBy(*keys)).applyInPandas(look, result)
     best = home.unionByName(materialize(more, "more")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r")
     # Back from distinct vectors to the queries that have them, without each one's own row.
-    answered = asked.select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("q")).join(best, "q").where("query_id <> vec_id")
+    answered = asked.join(wanted, "vec").select(F.col("id").alias("query_id"), "q").join(best, "q").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answered.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

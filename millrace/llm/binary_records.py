@@ -9,8 +9,9 @@ A shard is a sequence of records, each framed as
 
 where a checksum is the CRC-32 of the bytes and is masked by a rotation and an
 addition, so that checksums of data that holds checksums stay sound.  A payload
-is the document's id (signed 64-bit), the width of an id in bytes (2 or 4, in
-one byte) and its ids in that width.  Beside each shard an index file holds, per
+is the document's id (signed 64-bit), one byte with the width of a token id (2 or
+4) and, in its highest bit, whether the document has no id (it is then zero),
+and the token ids in that width.  Beside each shard an index file holds, per
 record, its offset in the shard and the number of ids before it in the shard
 (two unsigned 64-bit integers), so that a shuffled reader can fetch any record
 with one ranged read.
@@ -34,6 +35,8 @@ from millrace.llm.tokenizing import word_encoder
 from millrace.sources.storage import scratch_path
 
 _HEAD, _SUM, _OWN, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB"), struct.Struct("<QQ")
+#: Set in the width's byte if the document has no id.
+NAMELESS = 0x80
 #: Bytes that a reader asks of the store at a time.
 READ = 8 << 20
 
@@ -48,18 +51,18 @@ def frame(payload: bytes) -> bytes:
     return b"".join((head, _SUM.pack(masked(head)), payload, _SUM.pack(masked(payload))))
 
 
-def payload_of(doc_id: int, ids: bytes) -> bytes:
+def payload_of(doc_id: int | None, ids: bytes) -> bytes:
     """``ids``: packed little-endian unsigned 32-bit integers; kept in two bytes each if all fit."""
     wide = np.frombuffer(ids, "<u4")
-    if len(wide) and wide.max() > 0xFFFF:
-        return _OWN.pack(doc_id, 4) + ids
-    return _OWN.pack(doc_id, 2) + wide.astype("<u2").tobytes()
+    width = 4 if len(wide) and wide.max() > 0xFFFF else 2
+    head = _OWN.pack(0, width | NAMELESS) if doc_id is None else _OWN.pack(doc_id, width)
+    return head + (ids if width == 4 else wide.astype("<u2").tobytes())
 
 
-def parse(payload: bytes) -> tuple[int, bytes]:
+def parse(payload: bytes) -> tuple[int | None, bytes]:
     doc_id, width = _OWN.unpack_from(payload)
     body = payload[_OWN.size :]
-    return doc_id, body if width == 4 else np.frombuffer(body, "<u2").astype("<u4").tobytes()
+    return None if width & NAMELESS else doc_id, body if width & ~NAMELESS == 4 else np.frombuffer(body, "<u2").astype("<u4").tobytes()
 
 
 def entry(offset: int, before: int) -> bytes:
@@ -104,7 +107,7 @@ def stream(source: pa.NativeFile) -> Iterator[bytes]:
         held = held[at:]
 
 
-def read_at(shard: str, index: str, positions: Iterable[int]) -> Iterator[tuple[int, bytes]]:
+def read_at(shard: str, index: str, positions: Iterable[int]) -> Iterator[tuple[int | None, bytes]]:
     """``(doc_id, ids)`` of the records at these positions of a shard, in the order asked for."""
     store, path = fs.FileSystem.from_uri(shard)
     entries_store, entries_path = fs.FileSystem.from_uri(index)
@@ -127,9 +130,10 @@ def write_records(
 
     Rows are dealt over the shards by ranges of (id, hash of the text) and
     sorted in each, so that one id on many rows is no load on one task; rows
-    that agree in both are adjacent in any order.  Null and empty texts are
-    the end id alone.  A row without an id can't be framed and raises an
-    error.  Each attempt of a task writes files of its own name and the
+    that agree in both are adjacent in any order.  Rows without an id come
+    first and are framed as such.  Null and empty texts are the end id alone;
+    a text of any length is one record, written whole.  Other columns are
+    ignored; an empty table gives an empty manifest.  Each attempt of a task writes files of its own name and the
     manifest names those of the attempt that counted, so lost executors leave
     at most files that nothing refers to.
     """
@@ -152,8 +156,6 @@ def write_records(
                 store.create_dir(root, recursive=True)
                 data, entries = store.open_output_stream(f"{root}/{name}.rec"), store.open_output_stream(f"{root}/{name}.idx")
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                if doc_id is None:
-                    raise ValueError("a document without an id can't be written")
                 ids += end
                 record = frame(payload_of(doc_id, ids))
                 entries.write(entry(at, tokens))

@@ -29,7 +29,7 @@ from millrace.llm.tokenizing import BYTE_LEVEL, UNSURE, WordCache, plain_pattern
 
 #: Characters of text whose distinct words are replayed together (a longer text is a block of its own), texts taken
 #: from Arrow at a time, and words kept between blocks.
-BLOCK, TEXTS, CACHED = 4 << 20, 1024, 1 << 19
+BLOCK, TEXTS, CACHED = 3 << 20, 512, 3 << 17
 
 
 class Ranks:
@@ -173,7 +173,9 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[list[str]]:
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids)``: the ids of every whole text, packed; null and empty texts have none.
 
-    Repeated rows are repeated; other columns are ignored.
+    A text of any length is encoded whole, as a block of its own if it is
+    longer than one.  Null ids pass through, repeated rows are repeated, other
+    columns are ignored, and an empty table has no rows.
     """
 
     def run(batches):

@@ -5,7 +5,9 @@ pieces fill a sequence each.  The others are dealt at random over *islands* of
 bounded size.  An island's chromosome is a list of bins (groups of pieces): the
 first is a best-fit decreasing packing, the rest best-fit packings of noisy
 orders.  Crossover injects well-filled bins of one parent whole into another,
-drops the bins that hold a piece twice and best-fits the displaced pieces.
+drops the bins that hold a piece twice and best-fits the displaced pieces; a
+displaced piece may first take the place of one or two smaller ones of a bin
+that it fills better, so that what is left to place is small.
 After every epoch each island sends its best-filled bins, as multisets of
 lengths, around a ring; where the neighbour has pieces of these lengths they
 are injected in the same way.  What stays in badly filled bins moves on to the
@@ -15,7 +17,7 @@ next, smaller, round of islands.
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,9 @@ from millrace.llm.tokenizing import word_encoder
 from millrace.sources.storage import materialize
 
 #: Pieces of an island, chromosomes of an island, generations of an epoch, bins that an island sends on.
-ISLAND, POPULATION, GENERATIONS, ELITE = 4096, 4, 4, 64
+ISLAND, POPULATION, GENERATIONS, ELITE = 4096, 8, 120, 64
+#: Least and greatest share of the fullest bins that a crossover injects, and the share of bins that it opens again.
+INJECTED, OPENED = (0.1, 0.5), 0.04
 #: Epochs of each round, and a bin that is this full is never opened again.
 EPOCHS, FULL = 2, 0.999
 
@@ -120,21 +124,49 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
 
 
-def inject(bins: list[list[int]], injected: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+def exchange(members: list[int], pool: list[tuple[int, int]], sizes: list[int], capacity: int) -> None:
+    """Let the piece of the pool that fills a bin best take the place of one or two of its pieces, which go to the pool.
+
+    ``pool`` is sorted by size.
+    """
+    free = capacity - sum(sizes[i] for i in members)
+    if not free:
+        return
+    gain, out, at = 0, (), 0
+    for k, i in enumerate(members):
+        for those in ((i,), *((i, j) for j in members[:k])):
+            room = sum(sizes[x] for x in those)
+            place = bisect_right(pool, (room + free, len(sizes))) - 1
+            if place >= 0 and pool[place][0] - room > gain:
+                gain, out, at = pool[place][0] - room, those, place
+    if gain:
+        members.append(pool.pop(at)[1])
+        for i in out:
+            members.remove(i)
+            insort(pool, (sizes[i], i))
+
+
+def inject(bins: list[list[int]], injected: list[list[int]], sizes: list[int], capacity: int, luck: random.Random) -> list[list[int]]:
     """Put whole bins into a chromosome, drop the bins they overlap and best-fit what that displaces."""
     taken = {i for b in injected for i in b}
     kept, displaced = [], []
     for b in bins:
         if taken.isdisjoint(b):
-            kept.append(b)
+            kept.append(list(b))
         else:
             displaced += [i for i in b if i not in taken]
-    displaced.sort(key=sizes.__getitem__, reverse=True)
-    # Emptiest bins are opened again, so that the displaced meet others than the bins' leavings.
+    # Emptiest bins and one or two others are opened again, so that the displaced meet others than the bins' leavings.
     kept.sort(key=lambda b: sum(sizes[i] for i in b))
-    loose = kept[: max(1, len(kept) // 50)]
-    order = sorted(displaced + [i for b in loose for i in b], key=sizes.__getitem__, reverse=True)
-    return best_fit(order, sizes, capacity, injected + kept[len(loose) :])
+    opened = min(len(kept), max(2, int(OPENED * len(kept))))
+    displaced += [i for b in kept[:opened] for i in b]
+    kept = kept[opened:]
+    for _ in range(min(2, len(kept))):
+        displaced += kept.pop(luck.randrange(len(kept)))
+    pool = sorted((sizes[i], i) for i in displaced)
+    luck.shuffle(kept)
+    for b in kept:
+        exchange(b, pool, sizes, capacity)
+    return best_fit([i for _, i in reversed(pool)], sizes, capacity, [*injected, *kept])
 
 
 def realise(patterns: list[tuple[int, ...]], sizes: list[int]) -> list[list[int]]:
@@ -158,28 +190,32 @@ def realise(patterns: list[tuple[int, ...]], sizes: list[int]) -> list[list[int]
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[int]] | None, guests: list[tuple[int, ...]]) -> list[list[int]]:
-    """One epoch of an island; never worse than best-fit decreasing or than ``start``."""
+    """One epoch of an island; never worse than best-fit decreasing or than ``start``, and over at the lower bound."""
     luck = random.Random(seed)
     items = range(len(sizes))
-    people = [start or best_fit(sorted(items, key=sizes.__getitem__, reverse=True), sizes, capacity)]
+    first = start or best_fit(sorted(items, key=sizes.__getitem__, reverse=True), sizes, capacity)
     least = -(-sum(sizes) // capacity)
-    if len(people[0]) == least:
-        return people[0]
+    if len(first) == least:
+        return first
+    people = [first]
     while len(people) < POPULATION:
-        noisy = sorted(items, key=lambda i: sizes[i] * (1 + luck.uniform(-0.1, 0.1)), reverse=True)
-        people.append(best_fit(noisy, sizes, capacity))
+        people.append(best_fit(sorted(items, key=lambda i: sizes[i] * (1 + luck.uniform(-0.1, 0.1)), reverse=True), sizes, capacity))
     if guests:
-        people.append(inject(people[0], realise(guests, sizes), sizes, capacity))
-    score = lambda bins: fitness(bins, sizes, capacity)
-    for _ in range(GENERATIONS):
-        people.sort(key=score, reverse=True)
-        if len(people[0]) == least:
+        people.append(inject(first, realise(guests, sizes), sizes, capacity, luck))
+    ranked = sorted(((fitness(b, sizes, capacity), -k, b) for k, b in enumerate(people)), reverse=True, key=lambda x: x[:2])
+    for born in range(GENERATIONS):
+        if len(ranked[0][2]) == least:
             break
-        giver, taker = luck.sample(people[: max(2, POPULATION // 2)], 2) if luck.random() < 0.5 else (people[1], people[0])
-        good = [b for b in giver if sum(sizes[i] for i in b) >= FULL * capacity]
-        luck.shuffle(good)
-        people = people[: POPULATION - 1] + [inject(taker, good[: max(1, len(good) // 4)], sizes, capacity)]
-    return max(people, key=score)
+        # Each parent is the better of two; they differ.
+        giver, taker = (min(luck.sample(range(len(ranked)), 2)) for _ in range(2))
+        if giver == taker:
+            taker = (taker + 1) % len(ranked)
+        donor = sorted(ranked[giver][2], key=lambda b: sum(sizes[i] for i in b) + luck.random(), reverse=True)
+        good = donor[: max(1, int(len(donor) * luck.uniform(*INJECTED)))]
+        child = inject(ranked[taker][2], good, sizes, capacity, luck)
+        ranked.append((fitness(child, sizes, capacity), -len(people) - born, child))
+        ranked = sorted(ranked, reverse=True, key=lambda x: x[:2])[:POPULATION]
+    return ranked[0][2]
 
 
 def _epoch(pieces: DataFrame, guests: DataFrame | None, capacity: int, seed: int) -> DataFrame:
@@ -222,7 +258,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, seed: int = 7) -> DataFrame:
     As few sequences as the search finds.  A piece that fills a sequence has
     one of its own.  Every round deals what is left to islands of about
     ``ISLAND`` pieces; the rounds end when one island holds all of it, or when
-    hardly a bin was filled.  An empty frame gives an empty frame.
+    hardly a bin was filled.  In that last case every island may keep a bin
+    that is filled in part, which is one bin above the bound for each
+    ``ISLAND`` pieces at most.  An empty frame gives an empty frame.
     """
     done = [pieces.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     rest = pieces.where(F.col("length") < capacity).select("uid", "length")

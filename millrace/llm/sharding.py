@@ -26,6 +26,8 @@ RING_BITS, STRETCH_BITS = 62, 12
 RING, STRETCHES = 1 << RING_BITS, 1 << STRETCH_BITS
 #: Points of a shard; parts that the rows of an arc are numbered in.
 POINTS, PARTS = 64, 8
+#: Repeated rows that are written out together.
+RUN = 4096
 
 
 def ring(shards: int, points: int = POINTS) -> list[tuple[int, int]]:
@@ -127,8 +129,12 @@ def shard_rows(docs: DataFrame, shards: int = 40, points: int = POINTS, id_col:
     pieces = flow(counts, owners, bounds(sum(counts), shards))
     offsets = F.broadcast(spark.createDataFrame(starts, "arc int, part int, before bigint"))
     routes = F.broadcast(spark.createDataFrame(pieces, "arc int, first bigint, end bigint, shard int, slot_first bigint"))
-    within = Window.partitionBy("arc", "part").orderBy("place", "id", "text_crc32", "size")
-    ranked = rows.withColumn("k", F.row_number().over(within) - 1).join(offsets, ["arc", "part"]).withColumn("k", F.col("k") + F.col("before"))
+    within = Window.partitionBy("arc", "part").orderBy("place", "id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    same = rows.groupBy("arc", "part", "place", "id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("n"))
+    first = F.coalesce(F.sum("n").over(within), F.lit(0)) + F.col("before")
+    # Rows that are alike come back from their number, in stretches of bounded length.
+    counted_rows = same.join(offsets, ["arc", "part"]).withColumn("k", first).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RUN))))
+    ranked = counted_rows.withColumn("k", F.explode(F.sequence(F.col("k") + F.col("at"), F.col("k") + F.least(F.col("at") + RUN, F.col("n")) - 1)))
     return ranked.join(routes, (ranked["arc"] == routes["arc"]) & (F.col("k") >= F.col("first")) & (F.col("k") < F.col("end"))).select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("slot_first") + F.col("k") - F.col("first")).alias("slot")
     )

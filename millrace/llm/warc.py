@@ -101,18 +101,24 @@ def resolve_revisits(records: DataFrame, stretch: int = STRETCH) -> DataFrame:
     that agreed, ``mismatch``, ``unvalidated``, or ``orphan`` if there is no
     earlier full response; but for the first kind, status, headers and payload
     are the revisit's own.  A mismatch isn't carried on to an older response.
-    Records without an id, a URL or a time are orphans or no base; ids are
-    unique, and of repeated rows any one is taken.  Other columns are ignored.
+    Records without an id, a URL or a time are orphans or no base.  Where rows
+    share an id the earliest stands for them, of equally early ones that of
+    the least URL and hash.  Payloads of any length pass through whole; other
+    columns are ignored; an empty table has no revisits.
     """
     named = records.select("record_id", canonical_url(F.col("url")).alias("key"), "captured", "status", _lower_names(F.col("headers")).alias("headers"), "payload")
+    named = named.withColumn("place", F.struct("captured", "key", F.xxhash64("status", "payload", F.to_json("headers")).alias("tie")))
     full = (F.col("status") == 200) & F.col("payload").isNotNull()
     usable = F.col("record_id").isNotNull() & F.col("key").isNotNull() & F.col("captured").isNotNull()
     revisits = named.where(F.col("status") == 304)
-    keys = named.where(usable & (full | (F.col("status") == 304))).select("record_id", "key", "captured", F.coalesce(full, F.lit(False)).alias("full")).dropDuplicates(["record_id"])
+    keys = named.where(usable & (full | (F.col("status") == 304))).groupBy("record_id").agg(F.min(F.struct("place", F.coalesce(full, F.lit(False)).alias("full"))).alias("least"))
+    keys = keys.select("record_id", "least.place.key", "least.place.captured", "least.full")
     bases = materialize(latest_full(keys, stretch), "bases")
-    heads = named.where(usable & full).select(F.col("record_id").alias("base_id"), F.col("status").alias("base_status"), F.col("headers").alias("base_headers"), F.col("payload").alias("base_payload"))
+    heads = named.where(usable & full).select(F.col("record_id").alias("base_id"), F.col("status").alias("base_status"), F.col("headers").alias("base_headers"), F.col("payload").alias("base_payload"), "place")
     used = bases.select("base_id").where("base_id is not null").distinct()
-    heads = heads.join(used, "base_id", "left_semi").dropDuplicates(["base_id"])
+    heads = heads.join(used, "base_id", "left_semi").groupBy("base_id").agg(F.min_by(F.struct("base_status", "base_headers", "base_payload"), "place").alias("base"))
+    # Written out, so that adaptive execution may split the revisits of a base that most refer to.
+    heads = materialize(heads.select("base_id", "base.*"), "heads")
     met = revisits.join(bases, "record_id", "left").join(heads, "base_id", "left")
     outcome = F.when(F.col("base_id").isNull(), F.lit("orphan")).otherwise(agreement(F.col("headers"), F.col("base_headers")))
     judged = met.withColumn("outcome", outcome)
