@@ -122,7 +122,7 @@ def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents"))
-    return judged.drop("n_lines", "n_marks", "n_upper")
+    return judged.drop("n_lines", "n_marks", "n_upper", "group_rows")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
