@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_or_empty
@@ -24,6 +24,8 @@ SHINGLE, SIMILARITY = 6, 0.8
 BANDS, ROWS = 10, 5
 #: Longs of a sketch; members of a bucket that meet one copy of what they are held against.
 WORDS, SLICE = 16, 256
+#: Members of a bucket's largest class that the other lines meet in each round before the one in which they meet all.
+ANCHORS = (8,)
 _BLANK = " \t\r"
 
 
@@ -128,16 +130,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return _let(sets, lambda s: _let(both(s), lambda k: k / (F.size(s["a"]) + F.size(s["b"]) - k)))
 
 
-def sketches(shingles: DataFrame) -> DataFrame:
+def sketches(shingles: DataFrame, parity: bool = False) -> DataFrame:
     """``(lid, size, sketch)``: the number of each line's shingles and, in 1024 bits, which bits they fall on.
 
-    The sketches of two sets differ in no more bits than the sets differ in
-    shingles, so they bound the similarity from above.
+    With ``parity`` distinct shingles count, and the bits that an odd number of
+    them falls on: sharper, as bits that both sets fill tell them apart too, but
+    the shingles have to be made distinct first.  Either way the sketches of
+    two sets differ in no more bits than the sets differ in shingles, so they
+    bound the similarity from above.
     """
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 32) & 63 as int))")
     word = F.shiftrightunsigned("s", 38).bitwiseAND(F.lit(WORDS - 1))
-    words = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS)]
-    drawn = shingles.groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
+    merge = F.bit_xor if parity else F.bit_or
+    words = [merge(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS)]
+    rows = shingles.groupBy("lid", "s").agg(F.lit(1)) if parity else shingles
+    drawn = rows.groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
     return drawn.select("lid", F.struct("size", *(f"w{k}" for k in range(WORDS))).alias("sketch"))
 
 
@@ -162,26 +169,38 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float, set_of: Call
     return met.select("a", F.explode(similar).alias("b"))
 
 
-def unsettled(known: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
+def unsettled(known: DataFrame, similarity: float, anchors: int | None, keep: Scratch) -> DataFrame:
     """Pairs ``(a, b, slice)`` of a bucket and different classes that may be similar; ``known`` has ``(bucket, lid, sketch, root)``.
 
-    Whatever is outside a bucket's largest class meets all other classes.  Only
-    pairs go of which the sketches prove that they aren't similar.  Buckets
-    with many lines outside are dealt over slices, and what these lines meet is
-    repeated for each slice.
+    Whatever is outside a bucket's largest class meets some members of that
+    class, the ``anchors`` with the least hashes, or if no number is given all
+    other classes.  Only pairs go of which the sketches prove that they aren't
+    similar.  Buckets with many lines outside are dealt over slices, and what
+    these lines meet is repeated for each slice.
     """
     sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
     main = main.select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / SLICE).cast("int").alias("slices"))
     apart = keep(known.join(keep(main, "main"), "bucket"), "apart")
     odd = apart.where("root <> main").select("bucket", "lid", "root", "sketch", F.pmod(F.xxhash64("lid"), F.col("slices")).cast("int").alias("slice"))
-    rest = apart.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("lid").alias("lid_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("in_main"), F.col("sketch").alias("sketch_b"))
+    held = apart
+    if anchors is not None:
+        first = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(anchors), "lid"), "lid")
+        held = apart.where("root = main").withColumn("r", F.row_number().over(first)).where(F.col("r") <= anchors)
+    rest = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("lid").alias("lid_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("in_main"), F.col("sketch").alias("sketch_b"))
+    rest = keep(rest, "rest")
     # Two lines outside the largest class meet from both sides; one is enough.
     on = [odd[c] == rest[c] for c in ("bucket", "slice")] + [F.col("root") != F.col("root_b"), F.col("in_main") | (F.col("lid") < F.col("lid_b"))]
     met = odd.join(rest, [*on, _may_be_similar(F.col("sketch"), F.col("sketch_b"), similarity)])
     return met.select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b"), odd["slice"])
 
 
+def _merged(classes: DataFrame, tops: DataFrame) -> DataFrame:
+    """``classes`` with each root replaced by the root that it has got in ``tops``."""
+    above = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return classes.join(above, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
 def links(
     lines: DataFrame,
     similarity: float = SIMILARITY,
@@ -193,8 +212,10 @@ def links(
 
     Lines of a bucket needn't all meet: those that its first line is linked to
     are one class, and only lines that this leaves in different classes are
-    compared further.  All of these are, so no link between two classes of a
-    bucket is lost.  Other things than lines come with ``(lid, bucket)`` of
+    compared further: with a few members of the bucket's largest class, which
+    takes in most of a family of near copies, then with more, and what stays
+    apart with all, so no link between two classes of a bucket is lost.  Other
+    things than lines come with ``(lid, bucket)`` of
     their own, what makes a set of shingle hashes of their ``line`` and what
     makes rows of them.  The result is materialized.
     """
@@ -215,15 +236,23 @@ def links(
     found = keep(verified(stars.select("a", "b", "slice"), lines, similarity, set_of, keep), "links")
     classes = keep.own(connected_components(found, "a", "b"))
     # All pairs with a bucket's first line are settled, so it is out.
-    known = members.where("lid <> lead and n > 2").select("bucket", "lid").join(drawn, "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left")
-    more = unsettled(keep(known.select("bucket", "lid", "sketch", F.coalesce("root", "lid").alias("root")), "known"), similarity, keep)
-    extra = keep(verified(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), lines, similarity, set_of, keep), "links")
-    # Links between whole classes join them; the first run's classes needn't be run again.
-    merged = extra.join(classes.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(classes.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    merged = keep(merged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "merged")
-    roots = keep.own(connected_components(merged, "a", "b"))
-    nodes = classes.unionByName(roots.select("node", F.col("node").alias("root")).join(classes.select("node"), "node", "left_anti"))
-    out = nodes.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    known = keep(members.where("lid <> lead and n > 2").select("bucket", "lid"), "others")
+    # Dealt by line, so that making a line's shingles distinct needs no exchange of them.
+    sharp = sketches(shingles(lines.join(known.select("lid").distinct(), "lid", "left_semi").repartition("lid")), parity=True)
+    known = known.join(keep(sharp, "sharp"), "lid").join(classes.withColumnRenamed("node", "lid"), "lid", "left")
+    known = keep(known.select("bucket", "lid", "sketch", F.coalesce("root", "lid").alias("root")), "known")
+    for anchors in (*ANCHORS, None):
+        more = unsettled(known, similarity, anchors, keep).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        extra = keep(verified(more, lines, similarity, set_of, keep), "links")
+        roots = known.select("lid", "root").distinct()
+        between = extra.join(roots.select(F.col("lid").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("lid").alias("b"), F.col("root").alias("rb")), "b")
+        # Links between lines join their whole classes.
+        tops = keep.own(connected_components(between.select("ra", "rb"), "ra", "rb"))
+        alone = tops.join(classes, "node", "left_anti").select("node", F.col("node").alias("root"))
+        classes = keep(_merged(classes.unionByName(alone), tops), "classes")
+        if anchors is not None:
+            known = keep(_merged(known, tops), "known")
+    out = classes.select("node", "root")
     out = materialize(out, "classes")
     keep.clear()
     return out

@@ -95,6 +95,14 @@ def test_as_of_equals_a_scan(spark, stretch):
     assert {r["record_id"]: r["base_id"] for r in warc.latest_full(keys, stretch).collect()} == want
 
 
+def test_rows_of_one_id_are_told_apart_by_their_place(spark):
+    rows = captured(*[(1, "http://a.org/p", 10 - k, 200, {"etag": f'"{k}"'}, f"payload {k}") for k in range(4)], (2, "http://a.org/p", 20, 304, {"etag": '"3"'}, None), (2, "http://a.org/p", 20, 304, {"etag": '"3"'}, None))
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = warc.resolve_revisits(spark.createDataFrame(rows, RECORDS).repartition(3)).collect()
+        assert [(r["record_id"], r["base_id"], r["outcome"], r["payload"]) for r in got] == [(2, 1, "etag", "payload 3")] * 2
+
+
 def test_no_records(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
 
@@ -102,6 +110,10 @@ def test_no_records(spark):
 # Web pages
 
 
+def main_text(page):
+    return [t for _, _, t in html_extract.located(page, None)[1]]
+
+
 @pytest.mark.parametrize(
     ("page", "blocks"),
     [
@@ -114,21 +126,24 @@ def test_no_records(spark):
         ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
         ("<p>one<!-- no -->two</p><style>p{}</style><div hidden>h</div>", ["onetwo"]),
         ("<div>" * 3000 + "deep", ["deep"]),
+        ("<p>top</p>" + "<div>" * 200 + "<nav>menu link</nav><p>text</p>" + "</div>" * 200 + "<p>end</p>", ["top", "text", "end"]),
+        ("<main><article><p>one part</p></article><hr><article><p>two part</p></article><article><p>and three</p></article></main><p>out</p>", ["one part", "two part", "and three"]),
+        ("x" * 300_000, ["x" * 300_000]),
     ],
 )
 def test_blocks_of_a_page(page, blocks):
-    assert html_extract.extract(page, None, frozenset()) == blocks
+    assert main_text(page) == blocks
 
 
 @pytest.mark.parametrize("name", ['class="content no-sidebar"', 'class="layout-sidebar-right"', 'class="post ad-free"', 'class="row hidden-xs"', 'id="related-work"', 'class="widget"'])
 def test_a_name_does_not_cost_the_main_text(name):
     page = f'<body><div class="sidebar">links</div><div {name}><p>The main text of the page stands here.</p></div></body>'
-    assert html_extract.extract(page, None, frozenset()) == ["The main text of the page stands here."]
+    assert main_text(page) == ["The main text of the page stands here."]
 
 
 def test_constant_texts_of_a_host_go(spark):
     page = "<body><div><p>Welcome to our site</p><h2>{0}</h2><p>{0} is what this page says</p>{1}<p>All about us</p></div></body>"
-    rows = [(i, f"http://h.org/{i}", page.format(f"Word{i}", "<p>More</p>" * (i % 3)), i) for i in range(8)]
+    rows = [(i, f"http://h.org/{i}", page.format(f"Word{i}", "<p>More</p>" * (i in (1, 2))), i) for i in range(8)]
     rows += [(100 + i, "http://copies.org/x", page.format("Same", ""), i) for i in range(5)]
     rows += [(200, None, None, 0), (201, "", "<p>alone</p>", 0), (202, "nonsense", "", 0)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host bigint")
@@ -141,12 +156,74 @@ def test_constant_texts_of_a_host_go(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_two_pages_make_a_wrapper_and_more_make_it_grow(spark):
+    two = [(i, "http://two.org/", f"<div><p>Subscribe to us today</p><p>Text of page {i}</p></div>", i) for i in range(2)]
+    # A notice that the first pages lack stands on most others.
+    notice = lambda i: "" if i % 3 == 0 else "<section><p>Read our letter</p></section>"
+    many = [(10 + i, "http://many.org/", f"<div><p>Words {i} here</p>{notice(i)}<p>More {i} words</p></div>", i) for i in range(12)]
+    pages = spark.createDataFrame(two + many, "page_id bigint, url string, html string, blocks bigint")
+    got = {r["page_id"]: r["blocks"] for r in html_extract.extract_pages(pages).collect()}
+    assert got == {i: [f"Text of page {i}"] for i in range(2)} | {10 + i: [f"Words {i} here", f"More {i} words"] for i in range(12)}
+
+
 def test_alignment_skips_what_one_page_has_more():
     wrapper = html_extract.skeleton(html_extract.read("<div><p>a</p><h2>b</h2><ul><li>c</ul></div>")[0])
-    seen = html_extract.observe("<div><p>x</p><section><p>new</p></section><h2>y</h2><ul><li>z<li>w</ul></div>", wrapper)
-    reference = html_extract.reference(wrapper)
-    labels = {n.number: n.label for n in html_extract._walk(reference)}
-    assert [labels[n] for n, _, _ in seen if n >= 0] == ["p", "h2", "li"]
+    _, seen = html_extract.located("<div><p>x</p><section><p>new</p></section><h2>y</h2><ul><li>z<li>w</ul></div>", wrapper)
+    nodes = html_extract.reference(wrapper)[1]
+    assert [nodes[n].label for n, _, _ in seen if n >= 0] == ["p", "h2", "li"]
+
+
+def slow_matching(a, b):
+    """Weight of the best matching by the recursion that defines it."""
+    if a.label != b.label:
+        return 0
+    table = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, p in enumerate(a.kids):
+        for j, q in enumerate(b.kids):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + slow_matching(p, q))
+    return 2 + (a.said == b.said != 0) + table[-1][-1]
+
+
+def aligned_weight(page, wrapper):
+    """Weight of what ``align`` paired, which has to keep the order and the parents."""
+    root, nodes = html_extract.reference(wrapper)
+    html_extract.align(page, root)
+    total, todo = 0, [page]
+    while todo:
+        n = todo.pop()
+        total += 2 + (n.said == nodes[n.number].said != 0)
+        paired = [k for k in n.kids if k.number >= 0]
+        places = [next(i for i, q in enumerate(nodes[n.number].kids) if q.number == k.number) for k in paired]
+        assert places == sorted(set(places)) and all(k.label == nodes[k.number].label for k in paired)
+        todo += paired
+    return total
+
+
+def random_page(luck, depth, width):
+    if depth == 0 or luck.random() < 0.3:
+        return f"<{(t := luck.choice(['p', 'h2', 'blockquote']))}>{luck.choice('abcde')}</{t}>"
+    tag = luck.choice(["div", "section", "ul"])
+    return f"<{tag}>" + "".join(random_page(luck, depth - 1, width) for _ in range(luck.randint(0, width))) + f"</{tag}>"
+
+
+@pytest.mark.parametrize("in_rows", [1024, 0])
+def test_alignment_is_the_best_matching(monkeypatch, in_rows):
+    monkeypatch.setattr(html_extract, "IN_ROWS", in_rows)
+    luck = random.Random(in_rows)
+    for _ in range(60):
+        page, other = (html_extract.read("".join(random_page(luck, 3, 4) for _ in range(luck.randint(1, 5))))[0] for _ in range(2))
+        wrapper = html_extract.skeleton(other)
+        assert aligned_weight(page, wrapper) == slow_matching(page, html_extract.reference(wrapper)[0])
+
+
+def test_many_children_are_matched_as_few_are(monkeypatch):
+    luck = random.Random(1)
+    part = lambda: f"<div><p>{luck.choice('abcdefgh')}</p>" + "<p>same</p>" * luck.randint(0, 2) + "</div>"
+    a, b = ("".join(part() for _ in range(300)) for _ in range(2))
+    wrapper = html_extract.skeleton(html_extract.read(b)[0])
+    in_rows = aligned_weight(html_extract.read(a)[0], wrapper)
+    monkeypatch.setattr(html_extract, "IN_ROWS", 10**9)
+    assert in_rows == aligned_weight(html_extract.read(a)[0], wrapper) == slow_matching(html_extract.read(a)[0], html_extract.reference(wrapper)[0])
 
 
 # Nearest neighbours
@@ -179,6 +256,31 @@ def test_neighbours_with_copies_and_bad_vectors(spark, monkeypatch, block):
     assert got[0] == want[0] == [600, 601, 602, 603, 604]
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1.0])
+def test_cosine_of_any_scale(scale):
+    a, b = np.array([[1.0, 2.0, 3.0]]), np.array([[3.0, 2.0, -1.0]])
+    assert ann.cosine(a * scale, b * scale)[0] == pytest.approx(4 / 14) and ann.cosine(a, b * scale)[0] == pytest.approx(4 / 14)
+
+
+def test_neighbours_of_a_real_table(spark):
+    """Recall against brute force on all of a table, with leaves that are cut into slabs."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.select("vec_id", "embedding").collect()]
+    sound = [(i, v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, x = np.array([i for i, _ in sound]), np.array([v for _, v in sound], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {}
+    for r in ann.nearest(table, table.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in np.nonzero(ids % 50 == 0)[0]:
+        far = -(x @ x[q])
+        far[ids == ids[q]] = np.inf
+        want = ids[np.lexsort((ids, np.round(far, 12)))[:5]]
+        hits, total = hits + len(set(want.tolist()) & got[int(ids[q])]), total + len(want)
+    assert hits >= 0.95 * total
+
+
 def test_at_most_one_in_a_hundred_neighbours_is_ruled_out():
     # A neighbour at this multiple of its squared distance in projection is still looked for.
     assert 1 - chi2_cdf(chi2_quantile(ann.CONFIDENCE, ann.DIRECTIONS), ann.DIRECTIONS) <= 0.01 + 1e-9

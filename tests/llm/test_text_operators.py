@@ -170,13 +170,66 @@ def test_crossover_keeps_every_piece_once():
     sizes = [luck.randint(1, 90) for _ in range(200)]
     a = packing.best_fit(list(range(200)), sizes, 100)
     b = packing.best_fit(list(range(199, -1, -1)), sizes, 100)
-    child = packing.inject(a, b[:10], sizes, 100)
+    child = packing.inject(a, b[:10], sizes, 100, luck)
     assert sorted(i for x in child for i in x) == list(range(200)) and all(sum(sizes[i] for i in x) <= 100 for x in child)
     assert {tuple(x) for x in b[:10]} & {tuple(x[: len(y)]) for x in child for y in b[:10]}
     guests = packing.realise([(sizes[0], sizes[1]), (1000,)], sizes)
     assert [[sizes[i] for i in g] for g in guests] == [[sizes[0], sizes[1]]]
 
 
+def uniform(luck, n=1200):
+    return [luck.randint(300, 1300) for _ in range(n)]
+
+
+def few_classes(luck, n=1200):
+    return [luck.choice([683, 690, 700, 1024, 1030, 1010, 512, 341, 670, 655]) for _ in range(n)]
+
+
+def triples(luck, n=400):
+    out = []
+    for _ in range(n):
+        a = luck.randint(400, 1000)
+        b = luck.randint(400, min(1000, 1748 - a))
+        out += [a, b, 2048 - a - b]
+    return out
+
+
+def decreasing(sizes):
+    return packing.best_fit(sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), sizes, 2048)
+
+
+@pytest.mark.parametrize(("lengths", "saved"), [(uniform, 3), (few_classes, 5), (triples, 5)])
+def test_crossover_saves_bins_over_best_fit_decreasing(monkeypatch, lengths, saved):
+    sizes = lengths(random.Random(1))
+    found = packing.evolve(sizes, 2048, 1, None, [])
+    assert sorted(i for b in found for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 2048 for b in found)
+    assert len(decreasing(sizes)) - len(found) >= saved
+    # Without a generation there is the seed and its noisy kin only.
+    monkeypatch.setattr(packing, "GENERATIONS", 0)
+    assert len(packing.evolve(sizes, 2048, 1, None, [])) > len(found)
+
+
+def test_migration_saves_bins(monkeypatch):
+    sizes = triples(random.Random(2))
+    guests = [tuple(sizes[3 * k : 3 * k + 3]) for k in range(0, 400, 4)]
+    monkeypatch.setattr(packing, "GENERATIONS", 40)
+    alone, met = (packing.evolve(sizes, 2048, 3, None, x) for x in ([], guests))
+    assert len(met) < len(alone) < len(decreasing(sizes))
+
+
+def test_islands_beat_best_fit_decreasing(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ISLAND", 400)
+    sizes = few_classes(random.Random(4))
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "uid bigint, length bigint"))
+    assert got.select("sequence_id").distinct().count() < len(decreasing(sizes))
+
+
+def test_pieces_without_an_id(spark):
+    docs = corpus(spark, ["a b", "c d e"]).withColumn("doc_id", F.lit(None).cast("bigint"))
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(rows) == 2 and {r["doc_id"] for r in rows} == {None} and len({r["offset"] for r in rows}) == 2
+
+
 def test_nothing_to_pack(spark):
     assert packed_rows(spark, []) == []
 
@@ -231,7 +284,8 @@ def test_one_more_shard_moves_few_rows(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     before = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(docs, 20).collect()}
     after = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(docs, 21).collect()}
-    assert sum(before[k] != after[k] for k in before) < 0.35 * len(before)
+    # A new shard has to take one row in 21; clockwise overflow moves as many again at most.
+    assert len(before) / 21 <= sum(before[k] != after[k] for k in before) + len(before) // 420 and sum(before[k] != after[k] for k in before) <= 2 * len(before) / 21
 
 
 # Binary records
@@ -250,6 +304,9 @@ def test_records_round_trip(spark, tmp_path):
         ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
         assert (r["doc_id"], r["start"], bytes(r["ids"])) == (i, start, ids)
         start += len(ids) // 4
+    nameless = corpus(spark, ["q r"]).withColumn("doc_id", F.lit(None).cast("bigint")).unionByName(corpus(spark, ["s"]))
+    named = binary_records.read_records(spark, binary_records.write_records(nameless, path, folder + "-2", shards=2)).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"]) for r in named] == [(None, 0), (0, 3)]
     shard = manifest[-1]
     order = list(range(shard["records"]))[::-1]
     picked = list(binary_records.read_at(shard["data"], shard["entries"], order))
@@ -265,7 +322,9 @@ def test_records_round_trip(spark, tmp_path):
 
 def test_wide_ids_and_bad_frames():
     ids = np.array([1, 70_000], "<u4").tobytes()
-    assert binary_records.parse(binary_records.payload_of(-5, ids)) == (-5, ids)
+    for doc_id in (-5, None):
+        for packed in (ids, ids[:4]):
+            assert binary_records.parse(binary_records.payload_of(doc_id, packed)) == (doc_id, packed)
     framed = binary_records.frame(b"abc")
     assert binary_records.unframe(framed) == (b"abc", len(framed))
     for bad in (framed[:-1], framed[:5], b"\1" + framed[1:]):
@@ -294,6 +353,14 @@ def test_encoding_equals_the_library_and_decodes_back(spark):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
 
 
+def test_encoding_without_rows_or_ids(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = corpus(spark, ["some words", None]).withColumn("doc_id", F.lit(None).cast("bigint"))
+    rows = bpe.decode(bpe.encode(docs, path), path).collect()
+    assert sorted(bytes(r["decoded"]) for r in rows) == [b"", b"some words"] and {r["doc_id"] for r in rows} == {None}
+    assert bpe.decode(bpe.encode(docs.limit(0), path), path).count() == 0
+
+
 # Line dedup
 
 
@@ -428,6 +495,51 @@ def test_outliers_of_each_group_go_and_the_rest_stays(spark):
     assert quality.judge(corpus(spark, [])).count() == 0
 
 
+def slow_mcd(x, starts=200):
+    """The best of many random starts, each followed until it stands still: fast MCD as published, with the operator's floor."""
+    luck = np.random.default_rng(0)
+    p, h = x.shape[1], int(quality.SUPPORT * len(x)) + 1
+    factor = quality.SUPPORT / quality.chi2_cdf(quality.chi2_quantile(quality.SUPPORT, p), p + 2)
+    best = np.inf
+    for _ in range(starts):
+        rows = luck.choice(len(x), p + 1, replace=False)
+        for _ in range(15):
+            mean, cov = x[rows].mean(0), np.cov(x[rows].T, bias=True) * factor + quality._floor()
+            gap = x - mean
+            rows = np.argsort(np.einsum("ni,ij,nj->n", gap, np.linalg.inv(cov), gap))[:h]
+        cov = np.cov(x[rows].T, bias=True) * factor + quality._floor()
+        best = min(best, np.linalg.slogdet(cov)[1])
+    return best
+
+
+def vectors_of(spark, groups):
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    return spark.createDataFrame(rows, "key string, " + ", ".join(f"{n} double" for n in quality.NAMES))
+
+
+def test_the_start_of_least_determinant_counts(spark, monkeypatch):
+    luck = np.random.default_rng(4)
+    # A flat cloud far out on a slanted line, and a quarter of the rows round the middle of all, off that line.
+    t = np.r_[luck.normal(-12, 1, 230), luck.normal(12, 1, 230)]
+    flat = t[:, None] * np.array([1, 1, 1, -1, 1, -1]) + luck.normal(0, 0.05, (460, 6))
+    groups = {"a": np.r_[flat, luck.normal(0, 1.2, (140, 6))], "b": luck.normal(1, 0.5, (300, 6))}
+    fits = {r["key"]: r["logdet"] for r in quality.mcd_estimates(vectors_of(spark, groups), ["key"]).collect()}
+    assert all(abs(fits[g] - slow_mcd(x)) < 0.15 for g, x in groups.items())
+    monkeypatch.setattr(quality, "STARTS", 2)
+    chosen = quality.mcd_estimates(vectors_of(spark, groups), ["key"]).where("key = 'a'").first()["logdet"]
+    assert fits["a"] <= chosen + 0.15
+
+
+def test_a_small_group_leans_on_the_group_around_it(spark):
+    luck = random.Random(3)
+    words = ["".join(luck.choices("etaoin", k=luck.randint(2, 8))) for _ in range(500)]
+    rows = [(i, " ".join(luck.choices(words, k=100)), "en", f"s{min(i // 60, 4)}") for i in range(245)]
+    rows += [(300 + i, " ".join(w + "$$$" for w in luck.choices(words, k=100)), "en", "s4") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: (r["kept"], r["group_rows"]) for r in quality.judge(docs).collect()}
+    assert [got[300 + i][0] for i in range(3)] == [False] * 3 and sum(got[i][0] for i in range(245)) >= 240 and got[244][1] == 8
+
+
 def test_mcd_finds_the_bulk_among_a_third_of_outliers(spark):
     luck = np.random.default_rng(0)
     bulk, far = luck.normal(1, 0.5, (600, 6)), luck.normal(6, 0.5, (250, 6))
