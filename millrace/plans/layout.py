@@ -23,8 +23,8 @@ def block_rows(size_bytes: int = 786_432) -> int:
 
 
 def shard_count(wanted: int = 16) -> int:
-    """The next power of two."""
-    return 1 << max(0, wanted - 1).bit_length()
+    """The next power of two; at least one."""
+    return 1 << (max(1, wanted) - 1).bit_length()
 
 
 def blocks(log: DataFrame, shard: Column, rows: int) -> DataFrame:

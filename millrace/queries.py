@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import bloom
-from millrace.functions.records import key_prefix, shard_of
+from millrace.functions.records import hash_shard, key_prefix, shard_of
 from millrace.operators import resolve, stats
 from millrace.plans import layout
-from millrace.plans.table import MutationTable
+from millrace.plans.table import Config, MutationTable
 from millrace.sources.log import appended, fitting, log_from
 from millrace.sources.storage import RunStore, scratch_path
 from millrace.streaming import upsert
@@ -303,6 +303,22 @@ def compact_shards(spark, sf_dir):
     return layout.compact_shards(orders_log(spark, sf_dir), shard_of(F.col("k"), SHARDS))
 
 
+@query(
+    "select wanted, cast(case when wanted <= 1 then 1 else pow(2, ceil(log2(wanted))) end as bigint) as shards, cast(greatest(1, wanted * 100 // 116) as bigint) as block_rows,"
+    " cast(greatest(1, wanted) as bigint) as workers from range(40) t(wanted)"
+)
+def normalised_settings(spark, sf_dir):
+    settings = [(n, Config(num_shards=n, active_block_size_bytes=100 * n, batch_worker_count=n)) for n in range(40)]
+    return spark.createDataFrame([(n, c.shards, c.block_rows, c.workers) for n, c in settings], "wanted bigint, shards bigint, block_rows bigint, workers bigint")
+
+
+@query("select count(distinct user_id) as keys, cast(0 as bigint) as split_keys, cast(0 as bigint) as out_of_range from events")
+def hash_shards(spark, sf_dir):
+    """Every key has one shard by hash, and that is among the shards."""
+    shards = events_log(spark, sf_dir).groupBy("k").agg(F.min(hash_shard(F.col("k"), SHARDS)).alias("low"), F.max(hash_shard(F.col("k"), SHARDS)).alias("high"))
+    return shards.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("low") != F.col("high")).alias("split_keys"), F.count_if((F.col("low") < 0) | (F.col("high") >= SHARDS)).alias("out_of_range"))
+
+
 @query("select c_custkey as k, rpad(hex(encode(substring(c_name, 1, 8))), 16, '0') as prefix from customer")
 def key_prefixes(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), key_prefix(F.col("c_name")).alias("prefix"))

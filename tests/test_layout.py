@@ -44,6 +44,7 @@ def test_positions_are_gapless_over_partitions(spark):
 
 def test_settings_are_normalised():
     c = Config(num_shards=9, batch_worker_count=0)
+    assert [Config(num_shards=n).shards for n in (0, 1, 2, 3, 16)] == [1, 1, 2, 4, 16]
     assert (Config().block_rows, c.shards, c.workers, Config(active_block_size_bytes=4 << 20).block_rows, Config(active_block_size_bytes=1).block_rows) == (6779, 16, 1, 36157, 1)
 
 

@@ -33,3 +33,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert queries.QUERIES["storage_stats"](spark, DATA).first()["size_bytes"] > 0
+
+
+def test_the_queries_stand_without_the_operators(monkeypatch):
+    """Whatever can't be imported, the library's own queries are there."""
+
+    def missing(name):
+        raise ImportError(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    assert set(entry.queries()) == set(queries.QUERIES) and set(entry.oracle_sql()) == set(queries.ORACLES)
