@@ -24,8 +24,9 @@ SHINGLE, SIMILARITY = 6, 0.8
 BANDS, ROWS = 10, 5
 #: Longs of a sketch; members of a bucket that meet one copy of what they are held against.
 WORDS, SLICE = 16, 256
-#: Members of a bucket's largest class that the other lines meet in each round before the one in which they meet all.
-ANCHORS = (8,)
+#: Members of a bucket's largest class that the other lines meet in each round before the one in which they meet all,
+#: and the lines that a bucket has to have more of for such a round to be worth it.
+ANCHORS, CROWD = (8,), 64
 _BLANK = " \t\r"
 
 
@@ -180,8 +181,11 @@ def unsettled(known: DataFrame, similarity: float, anchors: int | None, keep: Sc
     """
     sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    main = main.select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / SLICE).cast("int").alias("slices"))
-    apart = keep(known.join(keep(main, "main"), "bucket"), "apart")
+    main = main.select("bucket", F.col("top.root").alias("main"), F.col("n").alias("size"), F.ceil((F.col("n") - F.col("top.n")) / SLICE).cast("int").alias("slices"))
+    if anchors is not None:
+        # Lines of smaller buckets wait for the last round.
+        main = main.where(F.col("size") > CROWD)
+    apart = keep(known.join(keep(main.drop("size"), "main"), "bucket"), "apart")
     odd = apart.where("root <> main").select("bucket", "lid", "root", "sketch", F.pmod(F.xxhash64("lid"), F.col("slices")).cast("int").alias("slice"))
     held = apart
     if anchors is not None:
