@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.sources.storage import Scratch, discard, materialize
+from millrace.sources.storage import discard, materialize
 
+#: Copies of a node's least neighbour, each of which meets a share of the node's edges.
+SALTS = 4
 
-def _star(both: DataFrame, larger: bool, keep: Scratch) -> DataFrame:
+
+def _star(both: DataFrame, larger: bool) -> DataFrame:
     """Hang the larger (or the not larger) neighbours of a node on its least neighbour.
 
     The least neighbour is a partial aggregate, so a hub of any degree costs
-    each map task one row; it is written out, so that adaptive execution may
-    split the join that follows where a hub makes a partition heavy.
+    each map task one row; in the join that follows a hub's edges are dealt
+    over ``SALTS`` tasks.
     """
-    least = keep(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m")), "least")
-    hung = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hung = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
     if larger:
         hung = hung.where("v > u")
     else:
@@ -24,14 +28,14 @@ def _star(both: DataFrame, larger: bool, keep: Scratch) -> DataFrame:
     return hung
 
 
-def _large_star(edges: DataFrame, keep: Scratch) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _star(both, True, keep).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _star(both, True).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, keep: Scratch) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hung = _star(down, False, keep)
+    hung = _star(down, False)
     moved = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     heads = hung.where("u <> m").select("u", F.col("m").alias("v"))
     return moved.unionByName(heads).distinct()
@@ -63,11 +67,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
-        keep = Scratch()
-        larger = keep(_large_star(now, keep), "larger")
-        following = materialize(_small_star(larger, keep), "edges")
-        keep.own(now)
-        keep.clear()
+        following = materialize(_small_star(_large_star(now)), "edges")
+        discard(now)
         before, now, mark = mark, following, _mark(following)
         if mark == before:
             break

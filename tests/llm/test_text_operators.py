@@ -409,6 +409,43 @@ def test_lines_are_classed_as_by_all_pairs(spark):
         assert got[at] == (head, head == at)
 
 
+def all_similar_pairs(lines):
+    """Pairs of lines whose shingle sets have a similarity of 0.8 or more, exactly: such sets share one of each one's rarest shingles."""
+    sets = [{line[i : i + 6] for i in range(len(line) - 5)} for line in lines]
+    count = {}
+    for s in sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    index, pairs = {}, []
+    for i in sorted(range(len(lines)), key=lambda i: len(sets[i])):
+        n = len(sets[i])
+        rare = sorted(sets[i], key=lambda x: (count[x], x))[: n - -(-8 * n // 10) + 1] if n else []
+        near = set()
+        for x in rare:
+            near.update(j for j in index.get(x, ()) if 10 * len(sets[j]) >= 8 * n)
+            index.setdefault(x, []).append(i)
+        for j in near:
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (n + len(sets[j]) - both):
+                pairs.append((i, j))
+    return pairs
+
+
+def test_links_of_a_real_table_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first = {}
+    for r in docs.orderBy("doc_id").collect():
+        for k, line in enumerate((r["text"] or "").split("\n")):
+            norm = line.strip(" \t\r").lower()
+            if norm:
+                first.setdefault(norm, (r["doc_id"], k))
+    lines = list(first)
+    pairs = all_similar_pairs(lines)
+    classes = {(r["doc_id"], r["line_no"]): (r["first_doc"], r["first_line"]) for r in line_dedup.line_classes(docs).collect()}
+    found = sum(classes[first[lines[i]]] == classes[first[lines[j]]] for i, j in pairs)
+    assert len(pairs) > 200 and found >= 0.95 * len(pairs)
+
+
 def test_lines_of_few_distinct_shingles_meet(spark):
     pairs = [("ha ho " * 40, "ha ho " * 260), ("-" * 30, "-" * 45), ("short line", "Short line "), ("abcdefg", "abcdefg"), ("=-" * 9, "=-" * 500)]
     rows = line_dedup.line_classes(corpus(spark, [a for a, _ in pairs] + [b for _, b in pairs])).collect()
