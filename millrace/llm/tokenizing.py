@@ -47,7 +47,7 @@ def plain_pattern(pattern: str) -> re.Pattern:
 if array("I").itemsize != 4 or sys.byteorder != "little":
     raise ImportError("packed ids need 32-bit little-endian integers")
 #: Words kept by a worker, and texts encoded together.
-CACHED, TOGETHER = 1 << 19, 128
+CACHED, TOGETHER = 1 << 20, 128
 
 
 class WordCache:
