@@ -32,6 +32,8 @@ from millrace.sources.storage import materialize
 
 #: Pieces of an island, chromosomes of an island, generations of an epoch, bins that an island sends on.
 ISLAND, POPULATION, GENERATIONS, ELITE = 4096, 8, 120, 64
+#: Generations without a bin saved after which an epoch ends.
+PATIENCE = 30
 #: Least and greatest share of the fullest bins that a crossover injects, and the share of bins that it opens again.
 INJECTED, OPENED = (0.1, 0.5), 0.04
 #: Epochs of each round, and a bin that is this full is never opened again.
@@ -203,8 +205,9 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[int]] |
     if guests:
         people.append(inject(first, realise(guests, sizes), sizes, capacity, luck))
     ranked = sorted(((fitness(b, sizes, capacity), -k, b) for k, b in enumerate(people)), reverse=True, key=lambda x: x[:2])
+    fewest, since = len(ranked[0][2]), 0
     for born in range(GENERATIONS):
-        if len(ranked[0][2]) == least:
+        if fewest == least or since == PATIENCE:
             break
         # Each parent is the better of two; they differ.
         giver, taker = (min(luck.sample(range(len(ranked)), 2)) for _ in range(2))
@@ -215,6 +218,8 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[int]] |
         child = inject(ranked[taker][2], good, sizes, capacity, luck)
         ranked.append((fitness(child, sizes, capacity), -len(people) - born, child))
         ranked = sorted(ranked, reverse=True, key=lambda x: x[:2])[:POPULATION]
+        since = 0 if len(ranked[0][2]) < fewest else since + 1
+        fewest = len(ranked[0][2])
     return ranked[0][2]
 
 
