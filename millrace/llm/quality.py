@@ -158,7 +158,8 @@ def _fit(moments: DataFrame, keys: list[str]) -> DataFrame:
             cov = np.einsum("nij,nj,nkj->nik", vectors, np.maximum(values, 0), vectors) * factor + _floor()
             yield _estimate(at, keys, n, mean, cov)
 
-    return moments.mapInArrow(run, _kind(moments, keys))
+    # A row for each group: a few tasks do, and few workers have to come up for them.
+    return moments.coalesce(SALTS).mapInArrow(run, _kind(moments, keys))
 
 
 def _shrunk(own: DataFrame, around: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,7 +178,7 @@ def _shrunk(own: DataFrame, around: DataFrame, keys: list[str]) -> DataFrame:
             cov = w[:, :, None] * _matrix(at, "c") + (1 - w)[:, :, None] * _matrix(outer, "c") + (w * (1 - w))[:, :, None] * gap[:, :, None] * gap[:, None, :]
             yield _estimate(at, keys, n, w * mine + (1 - w) * theirs, cov)
 
-    return both.mapInArrow(run, _kind(own, keys))
+    return both.coalesce(SALTS).mapInArrow(run, _kind(own, keys))
 
 
 def _distance() -> Column:
@@ -197,10 +198,8 @@ def _met(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 def _concentrated(rows: DataFrame, fit: DataFrame, keys: list[str], share: float) -> DataFrame:
     """One concentration step: the estimate of the rows nearest to an estimate, a ``share`` of each group."""
     measured = _met(rows, fit.select(*keys, *(x for x in ESTIMATE if x[0] in "mw")), keys).select(*keys, "salt", *NAMES, _distance().alias("d"))
-    radius = materialize(measured.groupBy(*keys).agg(F.percentile_approx("d", share, 10_000).alias("radius")), "radius")
-    out = materialize(_fit(_moments(_met(measured, radius, keys).where("d <= radius"), keys), keys), "estimates")
-    discard(radius)
-    return out
+    radius = measured.groupBy(*keys).agg(F.percentile_approx("d", share, 10_000).alias("radius"))
+    return materialize(_fit(_moments(_met(measured, radius, keys).where("d <= radius"), keys), keys), "estimates")
 
 
 def mcd_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -270,6 +269,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     for d in depths[1:]:
         groups = sizes.groupBy(F.col(f"k{d}").alias("key"), F.col(f"k{d - 1}").alias("around")).agg(F.sum("rows").alias("rows"))
         settled = materialize(_shrunk(raw.join(groups, "key"), settled, ["key"]), "settled")
+    discard(in_all, sizes)
     fit = settled.select("key", F.col("n").alias("group_rows"), *(x for x in ESTIMATE if x[0] in "mw"))
     dealt = passed.withColumn("key", F.col(f"k{depths[-1]}")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     judged = _met(dealt, fit, ["key"]).withColumn("distance", _distance())

@@ -167,6 +167,7 @@ def _keep_first(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
     ids = members.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("low"))
     # Those that go are mostly fewer than those that stay, so they are what meets the texts.
     ids = materialize(ids.select(id_col, "rows", (F.col("low") == F.col(id_col)).alias("stays")), "keepers")
+    discard(members)
     single = docs.where(F.col(id_col).isNotNull()).join(ids.where("not stays or rows > 1"), id_col, "left_anti")
     repeated = docs.join(ids.where("stays and rows > 1"), id_col, "left_semi").dropDuplicates([id_col])
     return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
@@ -236,9 +237,12 @@ def shingle_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Only texts that meet another have their shingles written out.
     asked = source.join(met.select(F.col("low").alias("id")).distinct(), "id", "left_semi")
     sets = asked.mapInArrow(gather, "lid bigint, line array<bigint>").join(met.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"])
-    linked = links(materialize(sets, "sets"), similarity, met.select("lid", "bucket"), lambda x: x, lambda df: df.select("lid", F.explode("line").alias("s")))
+    sets = materialize(sets, "sets")
+    linked = links(sets, similarity, met.select("lid", "bucket"), lambda x: x, lambda df: df.select("lid", F.explode("line").alias("s")))
     roots = materialize(nodes.select("lid", "low").join(linked.withColumnRenamed("node", "lid"), "lid", "left").select("lid", "low", F.coalesce("root", "lid").alias("root")), "roots")
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = roots.join(lowest, "root").select("lid", "component_id")
     members = rows.select("id", "lid").join(classes, "lid", "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
-    return _keep_first(docs, materialize(members, "members"), id_col)
+    members = materialize(members, "members")
+    discard(rows, nodes, met, sets, linked, roots)
+    return _keep_first(docs, members, id_col)
