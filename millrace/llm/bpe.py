@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,7 +30,10 @@ from millrace.llm.tokenizing import BYTE_LEVEL, UNSURE, WordCache, plain_pattern
 
 #: Characters of text whose distinct words are replayed together (a longer text is a block of its own), texts taken
 #: from Arrow at a time, and words kept between blocks.
-BLOCK, TEXTS, CACHED = 3 << 20, 512, 3 << 17
+BLOCK, TEXTS, CACHED = 3 << 20, 512, 5 << 17
+
+
+_ID = struct.Struct("<I")
 
 
 class Ranks:
@@ -61,41 +65,44 @@ def ranks(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
-def replay(words: list[bytes], vocabulary: Ranks) -> list[list[int]]:
-    """The ids of each distinct word, by replaying all merges over all words at once."""
+def replay(words: list[bytes], vocabulary: Ranks) -> list[bytes]:
+    """The packed ids of each distinct word, by replaying all merges over all words at once."""
     whole = vocabulary.rank
-    done: dict[int, list[int]] = {}
+    done: dict[int, bytes] = {}
     rest = []
     for k, word in enumerate(words):
         if word in whole:
-            done[k] = [whole[word]]
+            done[k] = _ID.pack(whole[word])
         elif word:
             rest.append(k)
         else:
-            done[k] = []
+            done[k] = b""
     lengths = np.array([len(words[k]) for k in rest], np.int64)
     ends = np.cumsum(lengths)
     # Tokens by position; -1 where a token was merged into the one before it.
-    ids = vocabulary.bytes[np.frombuffer(b"".join(words[k] for k in rest), np.uint8)].tolist()
+    start_ids = vocabulary.bytes[np.frombuffer(b"".join(words[k] for k in rest), np.uint8)]
+    ids = start_ids.tolist()
     n = len(ids)
-    starts = (ends - lengths).tolist()
-    last = bytearray(n)
-    first = bytearray(n)
-    for a, b in zip(starts, ends.tolist()):
-        first[a] = 1
-        last[b - 1] = 1
+    marks = np.zeros((2, n), np.uint8)
+    marks[0, ends - lengths] = 1
+    marks[1, ends - 1] = 1
+    first, last = bytearray(marks[0].tobytes()), bytearray(marks[1].tobytes())
     follows = list(range(1, n + 1))
     leads = list(range(-1, n - 1))
     # The inverted index: positions of the left token by the rank that the pair merges to.  Several
     # pairs can make one token, so the pair is part of the key.
     index: dict[tuple[int, int], list[int]] = {}
     merged = vocabulary.merged
-    for i in range(n - 1):
-        if not last[i]:
-            pair = ids[i] << 32 | ids[i + 1]
-            rank = merged(pair)
-            if rank >= 0:
-                index.setdefault((rank, pair), []).append(i)
+    places = np.nonzero(marks[1, : n - 1] == 0)[0] if n else np.zeros(0, np.int64)
+    pairs = start_ids[places] << 32 | start_ids[places + 1]
+    order = np.argsort(pairs, kind="stable")
+    distinct, begins = np.unique(pairs[order], return_index=True)
+    places = places[order]
+    for pair, begin, end in zip(distinct.tolist(), begins.tolist(), [*begins[1:].tolist(), len(places)]):
+        rank = merged(pair)
+        if rank >= 0:
+            index[rank, pair] = places[begin:end].tolist()
+    known = vocabulary.pairs
     queue = list(index)
     heapq.heapify(queue)
     while queue:
@@ -117,7 +124,9 @@ def replay(words: list[bytes], vocabulary: Ranks) -> list[list[int]]:
                 leads[after] = i
             if not last[i]:
                 touched = rank << 32 | ids[after]
-                r = merged(touched)
+                r = known.get(touched)
+                if r is None:
+                    r = merged(touched)
                 if r >= 0:
                     k = (r, touched)
                     if k in index:
@@ -128,7 +137,9 @@ def replay(words: list[bytes], vocabulary: Ranks) -> list[list[int]]:
             if not first[i]:
                 before = leads[i]
                 touched = ids[before] << 32 | rank
-                r = merged(touched)
+                r = known.get(touched)
+                if r is None:
+                    r = merged(touched)
                 if r >= 0:
                     k = (r, touched)
                     if k in index:
@@ -136,8 +147,12 @@ def replay(words: list[bytes], vocabulary: Ranks) -> list[list[int]]:
                     else:
                         index[k] = [before]
                         heapq.heappush(queue, k)
-    for k, a, b in zip(rest, starts, ends.tolist()):
-        done[k] = [x for x in ids[a:b] if x >= 0]
+    left_ids = np.array(ids, np.int64)
+    kept = left_ids >= 0
+    packed = left_ids[kept].astype("<u4").tobytes()
+    upto = (4 * np.cumsum(kept)[ends - 1]).tolist() if n else []
+    for k, a, b in zip(rest, [0, *upto], upto):
+        done[k] = packed[a:b]
     return [done[k] for k in range(len(words))]
 
 
@@ -151,8 +166,7 @@ def encode_block(texts: list[str], vocabulary: Ranks) -> Iterator[bytes]:
             new.update(w for w, x in zip(words, ids) if x is None)
         split.append((words, ids))
     todo = list(new)
-    got = replay([w.encode("utf-8", "surrogatepass") for w in todo], vocabulary)
-    found = {w: np.array(x, "<u4").tobytes() for w, x in zip(todo, got)}
+    found = dict(zip(todo, replay([w.encode("utf-8", "surrogatepass") for w in todo], vocabulary)))
     for words, ids in split:
         yield b"".join([found[w] if x is None else x for w, x in zip(words, ids)])
     vocabulary.known.add(found)
