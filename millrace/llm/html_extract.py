@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 Pages are parsed to trees of block-level nodes.  A host's wrapper starts as the
-tree of one of its pages and grows by the nodes that a few more have beside it;
-then every page of the host is aligned with it by simple tree matching: two
+tree of its commonest shape of page and grows by the nodes that all its other
+shapes have beside it; nodes that half of its articles or fewer have are left
+out.  Then every page of the host is aligned with it by simple tree matching: two
 nodes match if their labels do, and their children are matched in order so that
 the most nodes are paired, and of such matchings the most that say the same.
 A text that stands at one node of the wrapper on most pages of a host, whatever
@@ -18,7 +19,7 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
 
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_or_empty
-from millrace.sources.storage import materialize
+from millrace.sources.storage import discard, materialize
 
 #: A text is template if over this share of a host's distinct articles, and at least so many, have it at one node.
 SHARE, LEAST_ARTICLES = 0.5, 2
-#: Pages of a host that its wrapper is made from; which texts are template is counted over all of them.
-GROWN_FROM = 3
+#: Trees of a host that are put together in one task; more are put together in several rounds.
+TOGETHER = 64
 #: Pairs of children from which on their matching is computed in whole rows.
 IN_ROWS = 1024
 
@@ -71,7 +72,7 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 
 
 class Node:
-    __slots__ = ("tag", "label", "items", "kids", "drop", "soft", "why", "number", "said", "whole", "own")
+    __slots__ = ("tag", "label", "items", "kids", "drop", "soft", "why", "number", "said", "whole", "own", "held")
 
     def __init__(self, tag: str, label: str, drop: bool = False, soft: bool = False) -> None:
         self.tag, self.label, self.drop, self.soft = tag, label, drop, soft
@@ -82,6 +83,8 @@ class Node:
         self.number = -1
         # Hash of the node's own text in the article, and of all that its subtree is and says; what the subtree weighs.
         self.said = self.whole = self.own = 0
+        # Of a growing wrapper: articles that have the node, at most.
+        self.held = 0.0
 
     def children(self) -> list[Node]:
         return [x for x in self.items if type(x) is Node]
@@ -287,19 +290,27 @@ def runs(region: Node) -> list[tuple[Node, str]]:
 
 def skeleton(root: Node) -> str:
     """The tree with hashes in place of its texts, as JSON: ``[label, said, whole, number of children]`` of each node before its children."""
-    rows, todo = [], [root]
+    return json.dumps([[n.label, n.said, n.whole, len(n.kids)] for n in _blocks(root)])
+
+
+def _blocks(root: Node) -> Iterator[Node]:
+    """The nodes that are blocks, in the order of the page."""
+    todo = [root]
     while todo:
         n = todo.pop()
-        rows.append([n.label, n.said, n.whole, len(n.kids)])
+        yield n
         todo += reversed(n.kids)
-    return json.dumps(rows)
 
 
 @lru_cache(maxsize=256)
 def reference(text: str) -> tuple[Node, list[Node]]:
     """The tree of a skeleton and its nodes by number, in the order of the page."""
+    return _loaded(json.loads(text))
+
+
+def _loaded(rows: list[list]) -> tuple[Node, list[Node]]:
     nodes, wanting = [], []
-    for label, said, whole, kids in json.loads(text):
+    for label, said, whole, kids in rows:
         node = Node("", label)
         node.said, node.whole, node.number = said, whole, len(nodes)
         nodes.append(node)
@@ -467,33 +478,76 @@ def align(page: Node, wrapper: Node) -> None:
             todo += matching.matched(x, y)
 
 
-def grown(wrapper: str, page: Node) -> str:
-    """The wrapper with the nodes that only the page has, each after the one that it follows there."""
-    root, nodes = reference(wrapper)
-    align(page, root)
-    more: dict[int, list[Node]] = {}
-    todo = [page] if page.number >= 0 else []
-    while todo:
-        p = todo.pop()
-        if any(k.number < 0 for k in p.kids):
-            kids, at = list(nodes[p.number].kids), 0
+def grow(root: Node, other: Node, lacked: float, other_lacked: float) -> None:
+    """Let a wrapper take in the nodes that only the other tree has, each after the one that it follows there.
+
+    ``held`` of each node bounds the articles that have it: a node that the
+    wrapper lacks was left out of it for at most ``lacked`` articles, one that
+    the other lacks for at most ``other_lacked``.
+    """
+    nodes = list(_blocks(root))
+    theirs = list(_blocks(other))
+    # Subtrees that no page has as a whole are like none in the other tree.
+    for number, n in enumerate(nodes):
+        n.number, n.whole = number, max(n.whole, 0)
+    for n in theirs:
+        n.number, n.whole = -1, n.whole if n.whole > 0 else -1
+    align(other, root)
+    met = set()
+    for p in theirs:
+        if p.number < 0:
+            p.held += lacked
+        else:
+            nodes[p.number].held += p.held
+            met.add(p.number)
+    for n in nodes:
+        if n.number not in met:
+            n.held += other_lacked
+    for p in theirs:
+        if p.number >= 0 and any(k.number < 0 for k in p.kids):
+            place = {k.number: i for i, k in enumerate(nodes[p.number].kids)}
+            after: dict[int, list[Node]] = {}
+            at = -1
             for k in p.kids:
                 if k.number < 0:
-                    kids.insert(at, k)
-                    at += 1
+                    after.setdefault(at, []).append(k)
                 else:
-                    at = next(i for i, q in enumerate(kids) if q is nodes[k.number]) + 1
-            more[p.number] = kids
-        todo += (k for k in p.kids if k.number >= 0)
-    rows, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        is_own = 0 <= n.number < len(nodes) and nodes[n.number] is n
-        kids = more.get(n.number, n.kids) if is_own else n.kids
-        # A node that has got more children is none that a page has as a whole.
-        rows.append([n.label, n.said, 0 if is_own and n.number in more else n.whole, len(kids)])
-        todo += reversed(kids)
-    return json.dumps(rows)
+                    at = place[k.number]
+            mine = nodes[p.number]
+            mine.kids = after.get(-1, []) + [x for i, q in enumerate(mine.kids) for x in (q, *after.get(i, ()))]
+            # A node that has got more children is none that a page has as a whole.
+            mine.whole = 0
+
+
+def prune(root: Node, least: float) -> None:
+    """Leave out the nodes that ``least`` articles have, or fewer."""
+    for n in reversed(list(_blocks(root))):
+        kids = [k for k in n.kids if k.held > least]
+        if len(kids) < len(n.kids) or not all(k.whole > 0 for k in kids):
+            n.whole = 0
+        n.kids = kids
+
+
+def put_together(trees: list[tuple[str, str | None, int, int]], lost: float, least: float) -> tuple[str, str, int]:
+    """One tree of ``(skeleton, held, weight, articles)``, as ``(skeleton, held, weight)``.
+
+    ``held`` has a number for each node, or is null where all nodes are on all
+    the ``articles`` that have the tree.  A tree may lack nodes that a share
+    ``lost`` of its weight have; the result lacks those that a share ``least``
+    of its weight have, or fewer.
+    """
+    root, weight = None, 0
+    for text, held, own, articles in trees:
+        other, nodes = _loaded(json.loads(text))
+        for n, x in zip(nodes, json.loads(held) if held else [articles] * len(nodes)):
+            n.held = x
+        if root is None:
+            root = other
+        else:
+            grow(root, other, lost * weight, lost * own)
+        weight += own
+    prune(root, least * weight)
+    return skeleton(root), json.dumps([n.held for n in _blocks(root)]), weight
 
 
 def _hash(text: str) -> int:
@@ -508,17 +562,13 @@ def read(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
     for node, said in texts:
         node.said = _hash(f"{node.said}{said}")
     for n in reversed(nodes):
-        n.whole = zlib.crc32(repr((n.label, n.said, [k.whole for k in n.kids])).encode("utf-8", "surrogatepass"))
+        n.whole = zlib.crc32(repr((n.label, n.said, [k.whole for k in n.kids])).encode("utf-8", "surrogatepass")) or 1
     _weigh(nodes)
     return root, texts
 
 
-def induced(pages: list[str]) -> str:
-    """The wrapper that grows over some pages of a host."""
-    wrapper = skeleton(read(pages[0])[0])
-    for page in pages[1:]:
-        wrapper = grown(wrapper, read(page)[0])
-    return wrapper
+def _article(texts: list[tuple[Node, str]]) -> int:
+    return _hash("\n".join(t for _, t in texts))
 
 
 def located(page: str | None, wrapper: str | None) -> tuple[int, list[tuple[int, int, str]]]:
@@ -526,28 +576,83 @@ def located(page: str | None, wrapper: str | None) -> tuple[int, list[tuple[int,
     root, texts = read(page)
     if wrapper:
         align(root, reference(wrapper)[0])
-    return _hash("\n".join(t for _, t in texts)), [(n.number, _hash(t), t) for n, t in texts]
+    return _article(texts), [(n.number, _hash(t), t) for n, t in texts]
 
 
 def host_of(url_col: str):
     return F.lower(F.regexp_extract(text_or_empty(url_col), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper)`` for every host of ``pages``, ``(host, h, html)``, that has two different pages at least.
+def shapes(pages: DataFrame) -> DataFrame:
+    """``(host, shape, weight, articles, skeleton)``: every shape of page that a host of ``pages``, ``(host, h, html)``, has.
 
-    A wrapper grows over the ``GROWN_FROM`` pages with the least hashes, so no
-    more than these meet in a task.
+    Pages are of one shape if their trees have the same labels; the page with
+    the least hash stands for them.  ``articles`` counts the distinct articles
+    of a shape, ``weight`` those that are on no lesser shape of the host too.
     """
-    ranked = pages.select("host", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("r") <= GROWN_FROM)
-    several = ranked.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ARTICLES).select("host")
-    picked = materialize(ranked.join(several, "host"), "picked")
-    chosen = pages.join(picked, ["host", "h"]).select("host", "r", "html").dropDuplicates(["host", "r"])
 
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [induced(group.sort_values("r")["html"].tolist())]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            kinds, articles, least = [], [], {}
+            for k, (host, h, page) in enumerate(zip(hosts, hashes, batch.column(2).to_pylist())):
+                root, texts = read(page)
+                articles.append(_article(texts))
+                kinds.append(_hash(repr([(n.label, len(n.kids)) for n in _blocks(root)])))
+                found = least.get((host, kinds[-1]))
+                if found is None or h < found[0]:
+                    least[host, kinds[-1]] = h, k, skeleton(root)
+            texts = [None] * len(hosts)
+            for _, k, text in least.values():
+                texts[k] = text
+            columns = [pa.array(kinds, pa.int64()), pa.array(articles, pa.int64()), batch.column(1), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["host", "shape", "article", "h", "skeleton"])
+
+    rows = pages.select("host", "h", "html").mapInArrow(run, "host string, shape bigint, article bigint, h bigint, skeleton string")
+    best = F.min(F.when(F.col("skeleton").isNotNull(), F.struct("h", "skeleton"))).alias("best")
+    once = materialize(rows.groupBy("host", "shape", "article").agg(best), "shapes")
+    owner = once.groupBy("host", "article").agg(F.min("shape").alias("shape")).groupBy("host", "shape").agg(F.count(F.lit(1)).alias("weight"))
+    counted = once.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("articles"), F.min("best").alias("best")).join(owner, ["host", "shape"], "left")
+    return counted.select("host", "shape", F.coalesce("weight", F.lit(0)).alias("weight"), "articles", F.col("best.skeleton").alias("skeleton"))
+
+
+def _joined(lost: float, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Puts the trees of a group together; if it is the only one of its host, what ``SHARE`` of the articles have, or fewer, is left out."""
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["articles", "part"], ascending=[False, True])
+        trees = list(zip(group["skeleton"], group["held"], group["weight"].tolist(), group["articles"].tolist()))
+        text, held, weight = put_together(trees, lost, SHARE if group["groups"].iloc[0] == 1 else least)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [group["to"].iloc[0]], "weight": [weight], "articles": [weight], "skeleton": [text], "held": [held]})
+
+    return join
+
 
-    return materialize(chosen.groupBy("host").applyInPandas(grow, "host string, wrapper string"), "wrappers")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """``(host, wrapper)`` for every host of ``pages``, ``(host, h, html)``, that has two different articles at least.
+
+    A wrapper grows over all shapes of the host's pages, about ``TOGETHER`` of
+    them in a task and as many of the results in the next round.  It lacks only
+    nodes that ``SHARE`` of the host's articles have, or fewer, so what is on
+    more of them has its node.  Rounds before the last leave out nodes of a
+    lesser share of the articles that they have seen, which grows from round to
+    round: what a share above ``SHARE`` of all has, one of the parts has.
+    """
+    every = materialize(shapes(pages).select("host", F.col("shape").alias("part"), "weight", "articles", "skeleton", F.lit(None).cast("string").alias("held")), "trees")
+    several = every.groupBy("host").agg(F.sum("weight").alias("all")).where(F.col("all") >= LEAST_ARTICLES).select("host")
+    rows = materialize(every.join(several, "host", "left_semi"), "trees")
+    discard(every)
+    lost, kind = 0.0, "host string, part bigint, weight bigint, articles bigint, skeleton string, held string"
+    while True:
+        groups = materialize(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("bigint").alias("groups")), "groups")
+        most = groups.agg(F.max("groups")).first()[0]
+        least = (SHARE + lost) / 2
+        dealt = rows.join(groups, "host").withColumn("to", F.pmod(F.xxhash64("part"), "groups"))
+        before, rows = rows, materialize(dealt.groupBy("host", "to").applyInPandas(_joined(lost, least), kind), "trees")
+        discard(before, groups)
+        if not most or most == 1:
+            return rows.select("host", F.col("skeleton").alias("wrapper"))
+        lost = least
 
 
 BLOCK = "node int, h bigint, text string"

@@ -166,6 +166,38 @@ def test_two_pages_make_a_wrapper_and_more_make_it_grow(spark):
     assert got == {i: [f"Text of page {i}"] for i in range(2)} | {10 + i: [f"Words {i} here", f"More {i} words"] for i in range(12)}
 
 
+@pytest.mark.parametrize("together", [4, 64])
+def test_a_wrapper_has_what_most_pages_have_whichever_they_are(spark, monkeypatch, together):
+    monkeypatch.setattr(html_extract, "TOGETHER", together)
+    luck, rows, want = random.Random(4), [], {}
+    for site in range(50):
+        with_notice = set(luck.sample(range(12), 7))
+        for i in range(12):
+            at = 100 * site + i
+            notice = "<section><p>Read our letter</p></section>" if i in with_notice else ""
+            texts = [f"Words {at} {k}" for k in range(1 + i)]
+            rows.append((at, f"http://h{site}.org/", f"<div><h1>Title {at}</h1>{notice}{''.join(f'<p>{t}</p>' for t in texts)}<ul><li>About us</ul></div>"))
+            want[at] = [f"Title {at}", *texts]
+    got = {r["page_id"]: r["blocks"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
+def test_only_what_at_most_a_share_of_the_articles_have_is_left_out():
+    luck = random.Random(5)
+    pages = [(luck.randint(1, 5), {k for k in range(8) if luck.random() < (k + 1) / 9}) for _ in range(40)]
+    trees = []
+    for weight, has in pages:
+        page = "<div>" + "".join(f'<section id="s{k}"><p>x</section>' for k in sorted(has)) + "</div>"
+        trees.append((html_extract.skeleton(html_extract.read(page)[0]), None, weight, weight))
+    parts = [html_extract.put_together(trees[at : at + 7], 0.0, 0.25) for at in range(0, 40, 7)]
+    text, held, weight = html_extract.put_together([(t, h, w, w) for t, h, w in parts], 0.25, 0.5)
+    assert weight == sum(w for w, _ in pages)
+    left = {n.label for n in html_extract.reference(text)[1]}
+    for k in range(8):
+        assert f"section s{k}" in left or 2 * sum(w for w, has in pages if k in has) <= weight
+    assert "section s0" not in left and "section s7" in left
+
+
 def test_alignment_skips_what_one_page_has_more():
     wrapper = html_extract.skeleton(html_extract.read("<div><p>a</p><h2>b</h2><ul><li>c</ul></div>")[0])
     _, seen = html_extract.located("<div><p>x</p><section><p>new</p></section><h2>y</h2><ul><li>z<li>w</ul></div>", wrapper)
