@@ -8,6 +8,11 @@ fingerprints that agree in eight, seven or six positions share exactly 14,
 seven or three groups, and those that agree in fewer share one or none.  The
 shared groups of each pair that meets in the index are tallied, pairs under the
 guaranteed minimum are dropped, and the rest is verified bit by bit.
+
+Looser copies, down to a Jaccard similarity of 0.8, differ in too many of 64
+bits for that.  They are sought by wide fingerprints of 64 bytes, posted under
+192 groups of three byte positions of which no two share two positions; what
+meets in a list is tested bit by bit, and then by its exact shingle sets.
 """
 
 from __future__ import annotations
@@ -34,7 +39,12 @@ SHARED = {0: 14, 1: 7, 2: 3}
 LONG_LIST = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 16
-#: Bands of a text's MinHash signature and hashes of a band: texts of similarity 0.8 share a band with probability 0.9998.
+#: 64-bit parts of a wide fingerprint; its groups of byte positions are these, moved along by up to all 64 positions (no
+#: difference of two positions comes twice); differing bits up to which two may be copies.  At a similarity of 0.8 about
+#: 78 of the 512 bits differ, give or take 8, and 256 of unlike texts.
+PARTS, MOVED, NEAR_BITS = 8, ((0, 1, 3), (0, 4, 9), (0, 6, 13)), 160
+_PARTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (3, PARTS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bands of a text's MinHash signature and hashes of a band, by which pairs that wide fingerprints miss are found: texts of similarity 0.8 share a band with probability 0.9998.
 COPY_BANDS, COPY_ROWS = 16, 4
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, COPY_BANDS * COPY_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -194,14 +204,51 @@ def copy_buckets(hashes: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The SimHash of 512 bits of a set of shingle hashes; no shingles have none."""
+    ones = np.zeros(64 * PARTS, np.int64)
+    for at in range(0, len(hashes), 255):
+        mixed = (hashes[at : at + 255, None] ^ _PARTS[0]) * _PARTS[1]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _PARTS[2]
+        # 255 bits at most add up in a byte.
+        ones += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes() if len(hashes) else b""
+
+
+def wide_postings(nodes: DataFrame) -> DataFrame:
+    """``(lid, bucket)``: a row for each group of byte positions of ``print``, by its bytes."""
+    ring = F.concat("print", F.substring("print", 1, max(map(max, MOVED))))
+    key = lambda g: lambda i: F.xxhash64(F.lit(g), i, *(F.substring(F.col("ring"), i + 1 + d, F.lit(1)) for d in MOVED[g]))
+    lists = [F.transform(F.sequence(F.lit(0), F.lit(8 * PARTS - 1)), key(g)) for g in range(len(MOVED))]
+    return nodes.where(F.length("print") > 0).select("lid", ring.alias("ring")).select("lid", F.explode(F.concat(*lists)).alias("bucket"))
+
+
+def wide_candidates(nodes: DataFrame, keep: Scratch) -> DataFrame:
+    """``(lid, bucket)`` of the fingerprints ``(lid, print, words)`` that have another within ``NEAR_BITS`` in a list.
+
+    In lists of over ``LONG_LIST`` all are taken to have one; no pair within
+    ``NEAR_BITS`` that meets in a list is lost.
+    """
+    dealt = wide_postings(nodes).repartition("bucket")
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = keep(dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "lid", "n"), "postings")
+    short = met.where(F.col("n") <= LONG_LIST).join(nodes.select("lid", "words"), "lid")
+    members = short.groupBy("bucket").agg(F.collect_list(F.struct("lid", "words")).alias("all"))
+    differ = lambda a, b: sum((F.bit_count(a["words"][k].bitwiseXOR(b["words"][k])) for k in range(PARTS)), F.lit(0))
+    near = F.filter("all", lambda a: F.exists("all", lambda b: (a["lid"] != b["lid"]) & (differ(a, b) <= NEAR_BITS)))
+    tested = members.select("bucket", F.explode(near).alias("m")).select("m.lid", "bucket")
+    return tested.unionByName(met.where(F.col("n") > LONG_LIST).select("lid", "bucket"))
+
+
 def shingle_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group linked by a Jaccard similarity of word shingles.
 
-    Two bits of a SimHash stand for far closer copies, and the bits that a
-    similarity of 0.8 may change spoil all bytes, so candidates come from MinHash
-    bands; each is verified by its exact shingle sets.  Texts of the same words are
-    one node, texts without words too; two that only share its 64-bit name are
-    left alone.  Rows that share an id are one document, rows without an id stay.
+    Two bits of a 64-bit SimHash stand for far closer copies, so candidates come
+    from the byte positions of SimHashes of 512 bits, and MinHash bands add those
+    that few bytes of two fingerprints agree in; each is verified by its exact
+    shingle sets.  Texts of the same words are one node, texts without words too;
+    two that only share its 64-bit name are left alone.  Rows that share an id are
+    one document, rows without an id stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
     source = named.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -209,15 +256,17 @@ def shingle_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sign(batches):
         for batch in batches:
-            names, proofs, buckets = [], [], []
+            names, proofs, prints, buckets = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = _words(text)
                 whole = b" ".join(words)
                 names.append(xxhash.xxh64_intdigest(whole, SEED))
                 proofs.append(xxhash.xxh64_intdigest(whole, SEED + 1))
-                buckets.append(copy_buckets(shingle_hashes(words, shingle)))
+                hashes = shingle_hashes(words, shingle)
+                prints.append(wide_fingerprint(hashes))
+                buckets.append(copy_buckets(hashes))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (names, proofs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(buckets, pa.list_(pa.int64()))], ["id", "lid", "proof", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(prints, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["id", "lid", "proof", "print", "buckets"])
 
     def gather(batches):
         for batch in batches:
@@ -228,12 +277,17 @@ def shingle_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sets.append(shingle_hashes(words, shingle).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["lid", "line"])
 
-    rows = materialize(source.mapInArrow(sign, f"id {kind}, lid bigint, proof bigint, buckets array<bigint>"), "signed")
-    nodes = rows.groupBy("lid").agg(F.min("id").alias("low"), F.min("proof").alias("p0"), F.max("proof").alias("p1"), F.min("buckets").alias("buckets"))
-    nodes = materialize(nodes.where("p0 = p1").select("lid", "low", "buckets"), "nodes")
-    every = nodes.select("lid", "low", F.explode("buckets").alias("bucket"))
+    rows = materialize(source.mapInArrow(sign, f"id {kind}, lid bigint, proof bigint, print binary, buckets array<bigint>"), "signed")
+    nodes = rows.groupBy("lid").agg(F.min("id").alias("low"), F.min("proof").alias("p0"), F.max("proof").alias("p1"), F.min("print").alias("print"), F.min("buckets").alias("buckets"))
+    part = lambda k: F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("bigint")
+    nodes = materialize(nodes.where("p0 = p1").select("lid", "low", "print", "buckets"), "nodes")
+    every = nodes.select("lid", F.explode("buckets").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = materialize(every.join(shared, "bucket", "left_semi"), "met")
+    keep = Scratch()
+    wide = wide_candidates(nodes.select("lid", "print", F.array(*(part(k) for k in range(PARTS))).alias("words")), keep)
+    found = wide.unionByName(every.join(shared, "bucket", "left_semi").select("lid", "bucket"))
+    met = materialize(found.join(nodes.select("lid", "low"), "lid"), "met")
+    keep.clear()
     # Only texts that meet another have their shingles written out.
     asked = source.join(met.select(F.col("low").alias("id")).distinct(), "id", "left_semi")
     sets = asked.mapInArrow(gather, "lid bigint, line array<bigint>").join(met.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"])

@@ -104,6 +104,41 @@ def test_one_document_of_a_group_stays(spark):
     assert simhash.simhash_near_dedup(docs.limit(0)).count() == 0
 
 
+def test_wide_fingerprints_find_copies_of_five_word_similarity(spark):
+    luck = random.Random(13)
+    texts = []
+    for k in range(150):
+        words = luck.choices([f"w{i}" for i in range(900)], k=120)
+        # Of 116 shingles one word changes 5 and two words 10: similarities of 0.92 and 0.84.
+        places = luck.sample([20, 40, 60, 80, 100], 1 + k % 2)
+        texts.append((words, ["other" if i in places else w for i, w in enumerate(words)]))
+    sets = [set(simhash.shingle_hashes([w.encode() for w in ws], 5).tolist()) for pair in texts for ws in pair]
+    assert all(len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2]))
+    prints = [simhash.wide_fingerprint(np.array(sorted(x), np.uint64)) for x in sets]
+    rows = [(i, p, np.frombuffer(p, ">i8").tolist()) for i, p in enumerate(prints)]
+    keep = simhash.Scratch()
+    nodes = spark.createDataFrame([(*r[:1], bytearray(r[1]), r[2]) for r in rows], "lid bigint, print binary, words array<bigint>")
+    assert simhash.wide_postings(nodes).groupBy("lid").count().select("count").distinct().collect() == [(192,)]
+    lists = {}
+    for r in simhash.wide_candidates(nodes, keep).collect():
+        lists.setdefault(r["bucket"], set()).add(r["lid"])
+    keep.clear()
+    met = {(a, b) for got in lists.values() for a in got for b in got if a < b}
+    # No list holds a fingerprint that is unlike all others in it.
+    assert {(a, b) for a, b in met if a // 2 != b // 2} == set()
+    assert len(met) >= 0.97 * len(texts)
+
+
+def test_near_dedup_finds_copies_without_minhash(spark, monkeypatch):
+    import corpus_pipeline
+
+    luck = random.Random(14)
+    texts = [" ".join(luck.choices([f"w{i}" for i in range(900)], k=120)) for _ in range(4)]
+    monkeypatch.setattr(simhash, "copy_buckets", lambda hashes: [])
+    kept = corpus_pipeline.near_dedup(spark, corpus(spark, [*texts, *(t.replace(" ", " more ", 1) for t in texts), "", None]), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 8]
+
+
 def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
     import corpus_pipeline
 
