@@ -33,10 +33,14 @@ def byte_characters() -> dict[int, str]:
 
 
 _CHARACTERS = byte_characters()
+_SPACE = _CHARACTERS[ord(" ")]
+#: Parts of BYTE_LEVEL of which at most one can match at a place; re is faster if the commonest come first.
+_CONTRACTIONS, _RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|", r" ?\p{L}+| ?\p{N}+|"
 
 
 def plain_pattern(pattern: str) -> re.Pattern:
     """The pattern for texts without UNSURE characters."""
+    pattern = pattern.replace(_CONTRACTIONS + _RUNS, _RUNS + _CONTRACTIONS)
     for name, members in ((r"\p{L}", _LETTERS), (r"\p{N}", _NUMBERS)):
         pattern = pattern.replace(f"[{name}]", f"[{members}]")
         pattern = re.sub(r"(\[[^\]]*)" + re.escape(name), lambda m: m[1] + members, pattern)
@@ -108,7 +112,14 @@ class WordEncoder:
         whole texts around it.
         """
         tokenize = self.library.model.tokenize
-        found = {w: array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(_CHARACTERS))]).tobytes() for w in words}
+        found = {}
+        for w in words:
+            # Most words are ASCII letters behind a space or none, of which only the space is written otherwise.
+            if w.isascii() and (w.isalnum() or w[1:].isalnum() and w[0] == " "):
+                written = w.replace(" ", _SPACE)
+            else:
+                written = w.encode().decode("latin-1").translate(_CHARACTERS)
+            found[w] = array("I", [t.id for t in tokenize(written)]).tobytes()
         self.cache.add(found)
         return found
 
@@ -122,7 +133,8 @@ class WordEncoder:
         yield from self._encode_group(group)
 
     def _encode_group(self, group: list[str]) -> Iterator[bytes]:
-        split: list[tuple[list[str], list[bytes | None]] | None] = []
+        # For each text the ids of its words, and the places and words of those that aren't known yet.
+        split: list[tuple[list[bytes | None], list[tuple[int, str]]] | None] = []
         new: set[str] = set()
         for text in group:
             if self.words is None or UNSURE.search(text):
@@ -130,16 +142,18 @@ class WordEncoder:
                 continue
             words = self.words(text.lower() if self.lower else text)
             ids = self.cache.look_up(words)
-            if None in ids:
-                new.update(w for w, x in zip(words, ids) if x is None)
-            split.append((words, ids))
+            missing = [(i, words[i]) for i, x in enumerate(ids) if x is None] if None in ids else []
+            new.update([w for _, w in missing])
+            split.append((ids, missing))
         found = self._learn(new) if new else {}
         for text, pair in zip(group, split):
             if pair is None:
                 yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                words, ids = pair
-                yield b"".join(found[w] if x is None else x for w, x in zip(words, ids)) if None in ids else b"".join(ids)
+                ids, missing = pair
+                for i, w in missing:
+                    ids[i] = found[w]
+                yield b"".join(ids)
 
 
 @lru_cache(maxsize=4)
