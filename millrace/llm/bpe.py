@@ -1,7 +1,7 @@
 """Byte-level BPE by corpus-level merge replay.
 
 Encoding doesn't walk each word on its own.  The distinct words of a block of
-the corpus lie end to end in one sequence of bytes; an inverted index leads from
+the corpus lie end to end in sequences of bytes; an inverted index leads from
 each pair of adjacent tokens to its positions.  The merges are replayed in rank
 order: the pair of least rank is applied at all its positions, which changes
 the pairs with its neighbours and nothing else.  Tokens never cross a word, so
@@ -31,6 +31,9 @@ from millrace.llm.tokenizing import BYTE_LEVEL, UNSURE, WordCache, plain_pattern
 #: Characters of text whose distinct words are replayed together (a longer text is a block of its own), texts taken
 #: from Arrow at a time, and words kept between blocks.
 BLOCK, TEXTS, CACHED = 3 << 20, 512, 5 << 17
+#: Bytes of distinct words that are replayed at once, so that a block of new words needs no more memory than a later one
+#: (a longer word is replayed whole), and pairs of tokens whose rank a worker keeps.
+REPLAYED, PAIRS = 1 << 17, 1 << 19
 
 
 _ID = struct.Struct("<I")
@@ -53,6 +56,8 @@ class Ranks:
         """The rank of two tokens (in one integer) put together, or -1."""
         got = self.pairs.get(pair)
         if got is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             got = self.pairs[pair] = self.rank.get(self.token[pair >> 32] + self.token[pair & 0xFFFFFFFF], -1)
         return got
 
@@ -156,19 +161,37 @@ def replay(words: list[bytes], vocabulary: Ranks) -> list[bytes]:
     return [done[k] for k in range(len(words))]
 
 
+def _parts(words: list[str], size: int) -> Iterator[list[str]]:
+    """The words in parts of so many bytes at most, or of one longer word."""
+    held, n = [], 0
+    for word in words:
+        length = len(word) if word.isascii() else len(word.encode("utf-8", "surrogatepass"))
+        if held and n + length > size:
+            yield held
+            held, n = [], 0
+        held.append(word)
+        n += length
+    if held:
+        yield held
+
+
 def encode_block(texts: list[str], vocabulary: Ranks) -> Iterator[bytes]:
     """The ids of each text, packed as little-endian unsigned 32-bit integers."""
     split, new = [], set()
     for text in texts:
         words = vocabulary.split(text)
         ids = vocabulary.known.look_up(words)
-        if None in ids:
-            new.update(w for w, x in zip(words, ids) if x is None)
-        split.append((words, ids))
-    todo = list(new)
-    found = dict(zip(todo, replay([w.encode("utf-8", "surrogatepass") for w in todo], vocabulary)))
-    for words, ids in split:
-        yield b"".join([found[w] if x is None else x for w, x in zip(words, ids)])
+        # Of the words only those that aren't known yet are held, with their places.
+        missing = [(i, words[i]) for i, x in enumerate(ids) if x is None] if None in ids else []
+        new.update([w for _, w in missing])
+        split.append((ids, missing))
+    found: dict[str, bytes] = {}
+    for part in _parts(list(new), REPLAYED):
+        found.update(zip(part, replay([w.encode("utf-8", "surrogatepass") for w in part], vocabulary)))
+    for ids, missing in split:
+        for i, w in missing:
+            ids[i] = found[w]
+        yield b"".join(ids)
     vocabulary.known.add(found)
 
 
@@ -184,9 +207,16 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[list[str]]:
         yield held
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _decoded(packed: bytes, vocabulary: Ranks) -> bytes:
+    return b"".join(map(vocabulary.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``(id_col, ids)``: the ids of every whole text, packed; null and empty texts have none.
 
+    With ``decoded`` a column of that name has what ``decode`` would add, in the
+    same worker, so that the vocabulary is held once for both.
+
     A text of any length is encoded whole, as a block of its own if it is
     longer than one.  Null ids pass through, repeated rows are repeated, other
     columns are ignored, and an empty table has no rows.
@@ -198,23 +228,25 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
             at = 0
             for block in blocks(batch.column(1)):
                 packed = list(encode_block(block, vocabulary))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array(packed, pa.binary())], [id_col, "ids"])
+                columns = [packed, [_decoded(x, vocabulary) for x in packed]] if decoded else [packed]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), *(pa.array(c, pa.binary()) for c in columns)], names)
                 at += len(block)
 
+    names = [id_col, "ids", "decoded"] if decoded else [id_col, "ids"]
     source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary")
+    return source.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} binary" for n in names[1:]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded``: the bytes that packed ids stand for; null ids give null."""
 
     def run(batches):
-        token = ranks(path, pattern).token.__getitem__
+        vocabulary = ranks(path, pattern)
         for batch in batches:
             for begin in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(begin, TEXTS)
                 ids = part.column(at).to_pylist()
-                out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                out = [None if x is None else _decoded(x, vocabulary) for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     at = encoded.columns.index(ids_col)

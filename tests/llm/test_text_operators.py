@@ -388,6 +388,32 @@ def test_encoding_equals_the_library_and_decodes_back(spark):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
 
 
+def test_decoding_in_the_worker_that_encodes_is_decoding(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = corpus(spark, EDGE)
+    assert sorted(bpe.encode(docs, path, decoded=True).collect(), key=str) == sorted(bpe.decode(bpe.encode(docs, path), path).collect(), key=str)
+    assert bpe.encode(docs.limit(0), path, decoded=True).count() == 0
+
+
+def test_what_a_block_of_new_words_takes_is_bounded(monkeypatch):
+    import tracemalloc
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    luck = random.Random(15)
+    words = sorted({"".join(luck.choices("abcdefghijklmnopqrstuvwxyzé", k=luck.randint(6, 14))) for _ in range(60_000)})
+    peaks, got = [], []
+    for replayed, pairs in ((1 << 30, 1 << 30), (bpe.REPLAYED, 20_000)):
+        monkeypatch.setattr(bpe, "REPLAYED", replayed)
+        monkeypatch.setattr(bpe, "PAIRS", pairs)
+        vocabulary = bpe.Ranks(path, public_tokenizers.PATTERN)
+        tracemalloc.start()
+        got.append(list(bpe.encode_block([" ".join(words), "x" * 3000 + " y"], vocabulary)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(vocabulary.pairs) <= pairs
+    assert got[0] == got[1] and 2 * peaks[1] < peaks[0]
+
+
 def test_encoding_without_rows_or_ids(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = corpus(spark, ["some words", None]).withColumn("doc_id", F.lit(None).cast("bigint"))
