@@ -30,7 +30,9 @@ def shard_count(wanted: int = 16) -> int:
 def blocks(log: DataFrame, shard: Column, rows: int) -> DataFrame:
     """The log with ``shard`` and ``block``, both counted from 0.  Select what is needed first: all columns are sorted along."""
     placed = positioned(log.withColumn("shard", shard), ["seq"], ["shard"], "__place")
-    return placed.withColumn("block", F.floor((F.col("__place") - 1) / rows).cast("bigint")).drop("__place")
+    out = placed.withColumn("block", F.floor((F.col("__place") - 1) / rows).cast("bigint")).drop("__place")
+    out._millrace_path = placed._millrace_path
+    return out
 
 
 def shard_sizes(log: DataFrame, shard: Column) -> DataFrame:

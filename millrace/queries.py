@@ -13,7 +13,7 @@ from millrace.operators import resolve, stats
 from millrace.plans import layout
 from millrace.plans.table import Config, MutationTable
 from millrace.sources.log import appended, fitting, log_from
-from millrace.sources.storage import RunStore, scratch_path
+from millrace.sources.storage import RunStore, discard, scratch_path
 from millrace.streaming import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,13 +401,20 @@ def snapshot_stored_runs(spark, sf_dir):
     return resolve.live(resolve.as_of(store.read(), SNAPSHOT))
 
 
+def _stored_blocks(spark, sf_dir):
+    """The log as it lies in sorted blocks."""
+    store = _store(spark)
+    blocked = layout.blocks(*_sharded(spark, sf_dir))
+    path = store.write_blocks(blocked)
+    discard(blocked)
+    return store.read_blocks(path, blocked)
+
+
 @query(_one_sql("7"))
 def get_from_blocks(spark, sf_dir):
-    """A point read of sorted files by (shard, block): one shard's folders are opened, and of their row groups those that may hold the key."""
-    log = events_log(spark, sf_dir)
-    path = _store(spark).write_blocks(layout.blocks(log, shard_of(F.col("k"), SHARDS), BLOCK_ROWS))
+    """A point read of sorted blocks by shard: one shard's folder is opened, and of its row groups and pages those that may hold the key."""
     key = F.lit(7).cast("bigint")
-    blocks = spark.read.parquet(path).where((F.col("shard") == 7 % SHARDS) & (F.col("k") == key))
+    blocks = _stored_blocks(spark, sf_dir).where((F.col("shard") == 7 % SHARDS) & (F.col("k") == key))
     return resolve.multi_get(blocks, spark.range(1).select(F.lit(0).cast("bigint").alias("pos"), key.alias("k")))
 
 

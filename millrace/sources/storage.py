@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -68,6 +69,18 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written in here are deleted as each job ends, whenever the driver collects its memory."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 class Scratch:
     """Materializes the steps of an operator and deletes them once its result is written."""
 
@@ -217,12 +230,22 @@ class RunStore:
         return names
 
     def write_blocks(self, blocked: DataFrame) -> str:
-        """A sorted file for every (shard, block) of a log with these columns; reads that know the shard open no other's files."""
+        """The blocks of a log with ``shard`` and ``block``, a folder for each shard; reads that know the shard open no other's files.
+
+        A file holds whole blocks, one sorted block after the other, as many
+        as a task has of the shard.  Files of their own would cost each block,
+        however small, two entries on the disk and a footer.
+        """
         name = f"blocks-{uuid.uuid4().hex}"
-        dealt = blocked.select(*ROWS, "shard", "block").repartition("shard", "block")
-        self._put(self.sorter(dealt), f"{self.root}/{name}", ["shard", "block"])
+        dealt = blocked.select(*ROWS, "shard", "block").repartitionByRange("shard", "block")
+        with dropping_shuffles(self.spark):
+            self._put(self.sorter(dealt), f"{self.root}/{name}", ["shard"])
         return f"{self.root}/{name}"
 
+    def read_blocks(self, path: str, blocked: DataFrame) -> DataFrame:
+        """What ``write_blocks`` put there of ``blocked``, which may have no rows."""
+        return self.spark.read.schema(blocked.select(*ROWS, "shard", "block").schema).parquet(path)
+
     def _list(self, path: str) -> list:
         fs, target = _store(self.spark, path)
         return list(fs.listStatus(target))
