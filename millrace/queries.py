@@ -421,9 +421,7 @@ def get_from_blocks(spark, sf_dir):
 @query(_with("ev") + f"select shard, block, min(k) as min_key, max(k) as max_key, count(*) as rows from ({_BLOCKS}) group by all")
 def stored_block_min_max(spark, sf_dir):
     """The zone map as read back from the sorted files of the blocks."""
-    path = _store(spark).write_blocks(layout.blocks(events_log(spark, sf_dir), shard_of(F.col("k"), SHARDS), BLOCK_ROWS))
-    blocks = spark.read.parquet(path)
-    return layout.zone_map(blocks.select("k", F.col("shard").cast("bigint").alias("shard"), F.col("block").cast("bigint").alias("block")))
+    return layout.zone_map(_stored_blocks(spark, sf_dir))
 
 
 @query(_with("ev") + "select k, seq, v from ev_new where op = 'P'")

@@ -46,3 +46,16 @@ def test_rows_are_shuffled_once_for_their_blocks(spark):
 def test_a_point_read_of_an_empty_log(spark, tmp_path):
     spark.createDataFrame([], EVENTS).write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in queries.QUERIES["get_from_blocks"](spark, f"file://{tmp_path}").collect()] == [(0, 7, False, None)]
+
+
+def test_the_stored_zone_map_of_odd_logs(spark, tmp_path):
+    """No rows; and keys that are null, which have blocks of their own as in the SQL."""
+    rows = [(i, None if i % 3 == 0 else i % 40, "view", "x") for i in range(900)]
+    for name, data in (("none", []), ("nulls", rows)):
+        spark.createDataFrame(data, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = queries.QUERIES["stored_block_min_max"](spark, f"file://{tmp_path}/{name}")
+        con = duckdb.connect()
+        con.execute(f"create view events as select * from '{tmp_path}/{name}/events.parquet/*.parquet'")
+        want = con.execute(f"select shard, block, min_key, max_key, rows from ({queries.ORACLES['stored_block_min_max']})").fetchall()
+        assert sorted(map(repr, (tuple(r) for r in got.select("shard", "block", "min_key", "max_key", "rows").collect()))) == sorted(map(repr, want))
+        assert dict(got.dtypes) == {"shard": "bigint", "block": "bigint", "min_key": "bigint", "max_key": "bigint", "rows": "bigint"}
